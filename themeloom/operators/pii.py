@@ -193,7 +193,7 @@ def anonymise(df: DataFrame, columns: Sequence[str], strategy: str = "redact", k
 
 @F.pandas_udf("array<struct<word:string,start:int,end:int>>")
 def _capital_words(texts: pd.Series) -> pd.Series:
-    rule = re.compile(r"\b[^\W\d_][\w'-]*")
+    rule = re.compile(r"\w+")
     return texts.map(
         lambda t: None if t is None
         else [{"word": m.group(), "start": m.start(), "end": m.end()} for m in rule.finditer(t) if m.group()[0].isupper()]
