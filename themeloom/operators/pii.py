@@ -121,15 +121,16 @@ def resolve(found: Column) -> Column:
 
 def splice(text: Column, pieces: Column) -> Column:
     """``text`` with each (start, end, value) of the sorted, disjoint ``pieces``
-    put in place."""
-    before = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(pieces, i - 1)["end"])
-    parts = F.transform(
+    put in place.  Each array is evaluated once per row."""
+    resume = F.concat(F.array(F.lit(0)), F.transform(pieces, lambda s: s["end"]))
+    parts = F.zip_with(
         pieces,
-        lambda s, i: F.concat(F.substring(text, before(i) + 1, s["start"] - before(i)), s["value"]),
+        resume,
+        lambda s, at: F.when(s.isNull(), F.substring(text, at + 1, F.length(text))).otherwise(
+            F.concat(F.substring(text, at + 1, s["start"] - at), s["value"])
+        ),
     )
-    last = F.coalesce(F.element_at(F.transform(pieces, lambda s: s["end"]), -1), F.lit(0))
-    rebuilt = F.concat(F.array_join(parts, ""), F.substring(text, last + 1, F.length(text)))
-    return F.when(F.size(pieces) > 0, rebuilt).otherwise(text)
+    return F.array_join(parts, "")
 
 
 # Stand-in first names.
@@ -191,13 +192,18 @@ def anonymise(df: DataFrame, columns: Sequence[str], strategy: str = "redact", k
     return df
 
 
-@F.pandas_udf("array<struct<word:string,start:int,end:int>>")
-def _capital_words(texts: pd.Series) -> pd.Series:
-    rule = re.compile(r"\w+")
-    return texts.map(
-        lambda t: None if t is None
-        else [{"word": m.group(), "start": m.start(), "end": m.end()} for m in rule.finditer(t) if m.group()[0].isupper()]
-    )
+def _capital_words(column: Column) -> Column:
+    """Words that start with a capital letter, with their offsets."""
+
+    @F.pandas_udf("array<struct<word:string,start:int,end:int>>")
+    def find(texts: pd.Series) -> pd.Series:
+        rule = re.compile(r"\w+")
+        return texts.map(
+            lambda t: None if t is None
+            else [{"word": m.group(), "start": m.start(), "end": m.end()} for m in rule.finditer(t) if m.group()[0].isupper()]
+        )
+
+    return find(column)
 
 
 def name_spans(df: DataFrame, column: str, names: DataFrame, doc: str = "doc_id") -> DataFrame:

@@ -75,7 +75,9 @@ def assignment_probability(vectors: DataFrame, assignments: DataFrame, topics: D
         .join(topics.select("topic", F.col("vector").alias("_centre")), "topic", "left")
     )
     near = probability(arrays.cosine(F.col("vector"), F.col("_centre")))
-    return own.select("doc_id", "topic", F.coalesce(near, F.lit(0.0)).alias("probability"))
+    return own.select(
+        "doc_id", "topic", F.when(F.col("_centre").isNull(), F.lit(0.0)).otherwise(near).alias("probability")
+    )
 
 
 def full_probabilities(vectors: DataFrame, topics: DataFrame, scale: float = 1.0) -> DataFrame:
