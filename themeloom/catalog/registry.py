@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from themeloom.operators.vectors import english_stop_words
+from themeloom.session import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str | Callable[[], str]] = {}
@@ -27,19 +28,20 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents")
+    return spread(table(spark, folder, "documents"), "doc_id")
 
 
 def texts(spark: SparkSession, folder: str) -> DataFrame:
     """(id, text) of every text column in the given tables."""
     read = lambda name: table(spark, folder, name)
     key = lambda mark, *c: F.concat(F.lit(mark), F.concat_ws("-", *[F.col(x).cast("string") for x in c])).alias("id")
-    return (
+    every = (
         read("documents").select(key("d", "doc_id"), "text")
         .unionAll(read("pages").select(key("p", "page_id"), F.col("html").alias("text")))
         .unionAll(read("conversations").select(key("c", "conv_id", "turn"), "text"))
         .unionAll(read("benchmark").select(key("b", "item_id"), "text"))
     )
+    return spread(every, "id")
 
 
 TEXTS = """texts AS (

@@ -83,9 +83,10 @@ def _(spark, folder):
 def _(spark, folder):
     docs = class_documents(spark, folder)
     counts = store(vectors.term_counts(docs, "text", ["topic"]), "counts")
-    words = store(describe.top_words(describe.class_tfidf(counts), places=6), "words")
+    weights = store(describe.class_tfidf(counts), "weights")
+    words = store(describe.top_words(weights, places=6), "words")
     per_doc = vectors.term_counts(docs, "text", ["topic", "doc_id"])
-    near = describe.document_terms_similarity(per_doc, describe.class_tfidf(counts), describe.term_factors(counts))
+    near = store(describe.document_terms_similarity(per_doc, weights), "near")
     info = describe.topic_info(describe.topic_frequency(docs), describe.default_labels(words), words,
                                describe.representative_documents(near), docs, "text")
     made = docs.withColumn("probability", F.lit(1.0))

@@ -37,7 +37,7 @@ def _(spark, folder):
 
 @query("R2_class_tfidf", lambda: f"WITH {CLASS_COUNTS()}, {FACTORS}, {WEIGHTS} SELECT topic, term, round(weight, 9) AS weight FROM weights")
 def _(spark, folder):
-    return describe.class_tfidf(_counts(spark, folder)).withColumn("weight", F.round("weight", 9))
+    return describe.class_tfidf(_counts(spark, folder)).select("topic", "term", F.round("weight", 9).alias("weight"))
 
 
 @query("R3_top_words", lambda: f"WITH {_TOP()} SELECT topic, 'Default' AS aspect, rank, word, score FROM words")
@@ -82,9 +82,8 @@ def _described(spark, folder):
     docs = class_documents(spark, folder)
     per_doc = store(vectors.term_counts(docs, "text", ["topic", "doc_id"]), "doc_terms")
     counts = store(per_doc.groupBy("topic", "term").agg(F.sum("n").alias("n")), "counts")
-    factors = store(describe.term_factors(counts), "factors")
-    weights = store(describe.class_tfidf(counts, factors=factors), "weights")
-    near = describe.document_terms_similarity(per_doc, weights, factors)
+    weights = store(describe.class_tfidf(counts), "weights")
+    near = describe.document_terms_similarity(per_doc, weights)
     return docs, weights, near
 
 
@@ -278,7 +277,7 @@ def _tree(spark, folder):
     """Hierarchy of the classes, outliers apart, with its inputs."""
     counts = store(_counts(spark, folder).filter("topic <> -1"), "counts")
     factors = store(describe.term_factors(counts), "factors")
-    weights = store(describe.class_tfidf(counts, factors=factors), "weights")
+    weights = store(describe.class_tfidf(counts), "weights")
     return counts, factors, weights, store(display.hierarchy(weights), "merges")
 
 
@@ -311,15 +310,14 @@ _MERGE_WORDS = lambda: f"""{CLASS_DOCUMENTS}, {topic_tokens_sql()},
   counts AS (SELECT topic, term, count(*) AS n FROM grams WHERE topic <> -1 GROUP BY topic, term), {FACTORS}, {_CHAIN},
   summed AS (SELECT parent, term, sum(n) AS n FROM held JOIN counts USING (topic) GROUP BY parent, term),
   ptotal AS (SELECT parent, sum(n) AS total FROM summed GROUP BY parent),
-  pranked AS (SELECT parent, term, round(n / total * factor, 9) AS score, row_number() OVER (PARTITION BY parent ORDER BY n / total * factor DESC, term) AS rank
+  pranked AS (SELECT parent, term, round(n / total * factor, 9) AS score, row_number() OVER (PARTITION BY parent ORDER BY round(n / total * factor, 9) DESC, term) AS rank
     FROM summed JOIN ptotal USING (parent) JOIN factors USING (term))"""
 
 
-@query("V7_merge_words", lambda: f"WITH {_MERGE_WORDS()} SELECT CAST(parent AS VARCHAR) AS \"Parent_ID\", CAST(rank AS INT) AS rank, score FROM pranked WHERE rank <= 5")
+@query("V7_merge_words", lambda: f"WITH {_MERGE_WORDS()} SELECT CAST(parent AS VARCHAR) AS \"Parent_ID\", CAST(rank AS INT) AS rank, term AS word, score FROM pranked WHERE rank <= 5")
 def _(spark, folder):
     counts = store(_counts(spark, folder).filter("topic <> -1"), "counts")
-    found = display.merge_words(_given_merges(spark, folder), counts, describe.term_factors(counts))
-    return found.select("Parent_ID", "rank", F.round("score", 9).alias("score"))
+    return display.merge_words(_given_merges(spark, folder), counts, describe.term_factors(counts), places=9)
 
 
 @query("V8_topic_levels", f"""WITH {CLASS_DOCUMENTS}, {_CHAIN}, n AS (SELECT count(*) AS n FROM merges), l AS (SELECT unnest(range(1, least(10, (SELECT n FROM n)) + 1)) AS level),

@@ -14,6 +14,7 @@ from pyspark.sql import Column, functions as F
 from pyspark.sql.types import StringType
 
 from themeloom import params
+from themeloom.functions.arrays import let
 
 # The patterns of the cleaning steps and their replacements.
 NEWLINES = r"(\r\n|\n)+"
@@ -165,12 +166,14 @@ def long_tokens(a: Column, longer_than: int = 3) -> Column:
 
 def wrap_words(c: Column, words: int = params.HOVER_WORDS, line: int = params.HOVER_LINE) -> Column:
     """First ``words`` words, with ``<br>`` after every ``line`` of them."""
-    kept = F.slice(white_space_tokens(c), 1, words)
-    lines = F.transform(
-        F.sequence(F.lit(0), F.floor((F.size(kept) - 1) / line).cast("int")),
-        lambda i: F.concat(F.array_join(F.slice(kept, i * line + 1, F.lit(line)), " "), F.lit("<br>")),
-    )
-    return F.when(F.size(kept) > 0, F.array_join(lines, "")).when(c.isNotNull(), F.lit(""))
+    def lines(kept: Column) -> Column:
+        each = F.transform(
+            F.sequence(F.lit(0), F.floor((F.size(kept) - 1) / line).cast("int")),
+            lambda i: F.concat(F.array_join(F.slice(kept, i * line + 1, F.lit(line)), " "), F.lit("<br>")),
+        )
+        return F.when(F.size(kept) > 0, F.array_join(each, "")).when(kept.isNotNull(), F.lit(""))
+
+    return let(F.slice(white_space_tokens(c), 1, words), lines)
 
 
 def cut_label(c: Column, chars: int = params.LABEL_CHARS) -> Column:
@@ -208,14 +211,11 @@ def topic_text(c: Column) -> Column:
 
 def ngrams(a: Column, lengths: tuple[int, int] = params.NGRAMS) -> Column:
     """All runs of ``lengths[0]`` to ``lengths[1]`` adjacent tokens, space-joined."""
-    parts = []
-    for n in range(lengths[0], lengths[1] + 1):
-        if n == 1:
-            parts.append(a)
-            continue
-        runs = a
+    def runs(words: Column, n: int) -> Column:
+        out = words
         for offset in range(1, n):
-            tail = F.slice(a, F.lit(offset + 1), F.greatest(F.size(a) - offset, F.lit(0)))
-            runs = F.zip_with(F.slice(runs, F.lit(1), F.size(tail)), tail, lambda x, y: F.concat_ws(" ", x, y))
-        parts.append(runs)
-    return parts[0] if len(parts) == 1 else F.concat(*parts)
+            tail = F.slice(words, F.lit(offset + 1), F.greatest(F.size(words) - offset, F.lit(0)))
+            out = F.zip_with(F.slice(out, F.lit(1), F.size(tail)), tail, lambda x, y: F.concat_ws(" ", x, y))
+        return out
+
+    return let(a, lambda words: F.concat(*[runs(words, n) for n in range(lengths[0], lengths[1] + 1)]))

@@ -23,21 +23,35 @@ def joined_text_sizes(docs: DataFrame, column: str, topic: str = "topic") -> Dat
     )
 
 
+def mean_words(counts: DataFrame, topic: str = "topic") -> int:
+    """Whole part of the mean number of words per topic."""
+    return counts.groupBy(topic).agg(F.sum("n").alias("w")).agg(F.floor(F.avg("w")).alias("a")).first()["a"]
+
+
+def _factor(mean: int, count: Column) -> Column:
+    """``ln(1 + A / f)``: A words per topic on average, f uses over all topics."""
+    return F.log(1 + F.lit(mean) / count)
+
+
 def term_factors(counts: DataFrame, topic: str = "topic") -> DataFrame:
-    """(term, factor): ``ln(1 + A / f)`` with A the whole part of the mean number
-    of words per topic and f the count of the term over all topics."""
-    mean = counts.groupBy(topic).agg(F.sum("n").alias("w")).agg(F.floor(F.avg("w")).alias("a")).first()["a"]
-    return counts.groupBy("term").agg(F.log(1 + F.lit(mean) / F.sum("n")).alias("factor"))
+    """(term, factor) over all topics."""
+    return counts.groupBy("term").agg(_factor(mean_words(counts, topic), F.sum("n")).alias("factor"))
 
 
 def class_tfidf(counts: DataFrame, topic: str = "topic", factors: DataFrame | None = None) -> DataFrame:
-    """(topic, term, weight): term share within the topic times its factor."""
-    factors = term_factors(counts, topic) if factors is None else factors
+    """(topic, term, weight, factor): term share within the topic times its factor.
+
+    Without given ``factors`` they come from a sum over each term's topics, which
+    needs one shuffle and no join.
+    """
     totals = counts.groupBy(topic).agg(F.sum("n").alias("_total"))
-    return (
-        counts.join(totals, topic)
-        .join(factors, "term")
-        .select(topic, "term", (F.col("n") / F.col("_total") * F.col("factor")).alias("weight"))
+    if factors is None:
+        uses = F.sum("n").over(Window.partitionBy("term"))
+        known = counts.withColumn("factor", _factor(mean_words(counts, topic), uses))
+    else:
+        known = counts.join(factors, "term")
+    return known.join(totals, topic).select(
+        topic, "term", (F.col("n") / F.col("_total") * F.col("factor")).alias("weight"), "factor"
     )
 
 
@@ -102,17 +116,15 @@ def aspect_labels(words: DataFrame, aspect: str, parts: int = 4, separator: str
     return listed.select(topic, text.short_label(label).alias("label"))
 
 
-def document_terms_similarity(doc_counts: DataFrame, weights: DataFrame, factors: DataFrame) -> DataFrame:
+def document_terms_similarity(doc_counts: DataFrame, weights: DataFrame) -> DataFrame:
     """(topic, doc_id, similarity) of each document with its own topic, both as
-    weighted terms."""
-    own = doc_counts.join(factors, "term").select(
-        "topic", "doc_id", "term", (F.col("n") * F.col("factor")).alias("w")
-    )
+    weighted terms; ``weights`` carries the factor of each term."""
     lengths = weights.groupBy("topic").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("_topic_length"))
+    own = F.col("n") * F.col("factor")
     sums = (
-        own.join(weights.select("topic", "term", "weight"), ["topic", "term"])
+        doc_counts.join(weights.select("topic", "term", "weight", "factor"), ["topic", "term"])
         .groupBy("topic", "doc_id")
-        .agg(F.sum(F.col("w") * F.col("weight")).alias("_dot"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_length"))
+        .agg(F.sum(own * F.col("weight")).alias("_dot"), F.sqrt(F.sum(own * own)).alias("_length"))
     )
     return sums.join(lengths, "topic").select(
         "topic", "doc_id",

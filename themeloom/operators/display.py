@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from themeloom import params
@@ -130,13 +132,57 @@ def hierarchy_table(spark, merges: list[dict]) -> DataFrame:
     return spark.createDataFrame(rows, HIERARCHY_SCHEMA)
 
 
-def merge_words(merges: DataFrame, counts: DataFrame, factors: DataFrame, n: int = params.HIERARCHY_NAME_WORDS) -> DataFrame:
+def merge_words(merges: DataFrame, counts: DataFrame, factors: DataFrame, n: int = params.HIERARCHY_NAME_WORDS,
+                places: int | None = None) -> DataFrame:
     """(Parent_ID, rank, word, score): best words of each merge from the summed
     counts of its topics and the factors fitted before."""
-    members = merges.select("Parent_ID", F.explode("Topics").alias("topic"))
-    summed = members.join(counts, "topic").groupBy("Parent_ID", "term").agg(F.sum("n").alias("n"))
-    weights = describe.class_tfidf(summed, "Parent_ID", factors)
-    return describe.top_words(weights, n, topic="Parent_ID").select("Parent_ID", "rank", "word", "score")
+    if merges.limit(params.PAIR_TOPICS_LIMIT + 1).count() <= params.PAIR_TOPICS_LIMIT:
+        weights = _merge_candidates(merges, counts, factors, n, places)
+    else:
+        members = merges.select("Parent_ID", F.explode("Topics").alias("topic"))
+        summed = members.join(counts, "topic").groupBy("Parent_ID", "term").agg(F.sum("n").alias("n"))
+        weights = describe.class_tfidf(summed, "Parent_ID", factors)
+    return describe.top_words(weights, n, topic="Parent_ID", places=places).select("Parent_ID", "rank", "word", "score")
+
+
+def _merge_candidates(merges: DataFrame, counts: DataFrame, factors: DataFrame, n: int, places: int | None) -> DataFrame:
+    """(Parent_ID, term, weight) of every term that can be among the best ``n``.
+
+    The merges (a checked number) go to the tasks as a topics x merges matrix;
+    each batch of terms is summed by one product and keeps its best terms, with
+    all terms that tie with the last of them.
+    """
+    table = [(r["Parent_ID"], r["Topics"]) for r in merges.select("Parent_ID", "Topics").collect()]
+    spark = merges.sparkSession
+    if not table:
+        return spark.createDataFrame([], "Parent_ID string, term string, weight double")
+    position = {t: i for i, t in enumerate(sorted({t for _, held in table for t in held}))}
+    member = np.zeros((len(position), len(table)))
+    for column, (_, held) in enumerate(table):
+        member[[position[t] for t in held], column] = 1.0
+    sizes = {r["topic"]: r["n"] for r in counts.groupBy("topic").agg(F.sum("n").alias("n")).collect() if r["topic"] in position}
+    total = np.array([sizes.get(t, 0) for t in position], dtype=float) @ member
+    unit = 10.0 ** (12 if places is None else places)
+    names = np.array([name for name, _ in table], dtype=object)
+    packed = counts.join(factors, "term").groupBy("term").agg(
+        F.first("factor").alias("factor"), F.collect_list(F.struct("topic", "n")).alias("e")
+    ).select("term", "factor", F.col("e.topic").alias("topics"), F.col("e.n").alias("n"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            dense = np.zeros((len(pdf), len(position)))
+            for row, (topics, uses) in enumerate(zip(pdf["topics"], pdf["n"])):
+                for topic, use in zip(topics, uses):
+                    if topic in position:
+                        dense[row, position[topic]] = use
+            score = dense @ member / np.maximum(total, 1.0) * pdf["factor"].to_numpy()[:, None]
+            level = np.floor(score * unit)
+            k = min(n, len(pdf))
+            last = -np.partition(-level, k - 1, axis=0)[k - 1]
+            rows, columns = np.nonzero((level >= last - 1) & (score > 0))
+            yield pd.DataFrame({"Parent_ID": names[columns], "term": pdf["term"].to_numpy()[rows], "weight": score[rows, columns]})
+
+    return packed.mapInPandas(run, "Parent_ID string, term string, weight double")
 
 
 def named_hierarchy(merges: DataFrame, parent_words: DataFrame, words: DataFrame, n: int = params.HIERARCHY_NAME_WORDS) -> DataFrame:

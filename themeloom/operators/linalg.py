@@ -43,18 +43,25 @@ def signs(ids: np.ndarray, width: int, seed: int) -> np.ndarray:
     return bits.astype(np.float64) * 2.0 - 1.0
 
 
-def sparse_rows(weights: DataFrame, doc: str = "doc_id", vocabulary: DataFrame | None = None):
-    """(key, idx, val) rows with dense term numbers, and the (term, col) table."""
-    if vocabulary is None:
-        vocabulary = number_rows(weights.select("term").distinct(), ["term"], "col")
-    entry = F.struct(F.col("col").cast("int").alias("col"), F.col("weight").cast("double").alias("w"))
-    packed = (
-        weights.join(vocabulary, "term")
-        .groupBy(F.col(doc).alias("key"))
-        .agg(F.sort_array(F.collect_list(entry)).alias("e"))
-        .select("key", F.col("e.col").alias("idx"), F.col("e.w").alias("val"))
+def tfidf_rows(counts: DataFrame, doc: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """(key, idx, val): length-one TF-IDF rows with dense term numbers, and the
+    (term, df, col) vocabulary.
+
+    The numbered vocabulary carries the document frequency, so one join gives
+    number and weight, and a row is scaled after its terms are together.
+    """
+    frequency = counts.groupBy("term").agg(F.count("*").alias("df"))
+    vocabulary = number_rows(frequency, ["term"], "col")
+    n = counts.agg(F.count_distinct(doc).alias("n")).first()["n"]
+    weight = F.col("tf") * (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1)
+    rows = (
+        counts.join(vocabulary, "term")
+        .select(F.col(doc).alias("key"), F.col("col").cast("int").alias("col"), weight.alias("w"))
+        .groupBy("key")
+        .agg(F.sort_array(F.collect_list(F.struct("col", "w"))).alias("e"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("len"))
+        .select("key", F.col("e.col").alias("idx"), F.transform("e", lambda t: t["w"] / F.col("len")).alias("val"))
     )
-    return store(packed, "sparse"), vocabulary
+    return store(rows, "sparse"), vocabulary
 
 
 def _chunks(batch: pa.RecordBatch):
@@ -93,6 +100,22 @@ def _list_batch(names: list[str], keys: np.ndarray, matrix: np.ndarray) -> pa.Re
     return pa.RecordBatch.from_arrays([pa.array(keys), pa.ListArray.from_arrays(steps, flat)], names=names)
 
 
+def _packed_batch(keys: np.ndarray, matrix: np.ndarray) -> pa.RecordBatch:
+    """(col, packed): each row of doubles as one binary value, cheap to shuffle."""
+    data = np.ascontiguousarray(matrix, dtype=np.float64)
+    steps = np.arange(0, data.nbytes + 1, data.shape[1] * 8, dtype=np.int32)
+    packed = pa.Array.from_buffers(pa.binary(), len(data), [None, pa.py_buffer(steps), pa.py_buffer(data)])
+    return pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int32)), packed], names=["col", "packed"])
+
+
+def _unpacked(column: pa.Array) -> np.ndarray:
+    """Rows of doubles from a column of equally long binary values."""
+    rows = len(column)
+    _, offsets, data = column.buffers()
+    steps = np.frombuffer(offsets, dtype=np.int32)[column.offset : column.offset + rows + 1]
+    return np.frombuffer(data, dtype=np.uint8)[steps[0] : steps[-1]].view(np.float64).reshape(rows, -1)
+
+
 def _slices(count: int, size: int = 20_000) -> Iterator[slice]:
     for start in range(0, count, size):
         yield slice(start, min(start + size, count))
@@ -121,22 +144,21 @@ def _power_pass(rows: DataFrame, width: int, block) -> DataFrame:
         if acc is not None:
             keys = np.flatnonzero(touched)
             for part in _slices(len(keys)):
-                yield _list_batch(["col", "vector"], keys[part].astype(np.int32), acc[keys[part]])
+                yield _packed_batch(keys[part], acc[keys[part]])
 
-    return sum_vectors(rows.select("idx", "val").mapInArrow(partial, "col int, vector array<double>"), "col")
+    return _sum_packed(rows.select("idx", "val").mapInArrow(partial, "col int, packed binary"))
 
 
-def sum_vectors(df: DataFrame, key: str) -> DataFrame:
-    """Element-wise sums of the arrays of each integer key, streamed per partition."""
+def _sum_packed(df: DataFrame) -> DataFrame:
+    """Element-wise sums of the rows of each ``col``, streamed per partition."""
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, sums, held_k, held_v, held = None, None, [], [], 0
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            lists = batch.column(1)
             held_k.append(batch.column(0).to_numpy())
-            held_v.append(lists.flatten().to_numpy().reshape(batch.num_rows, -1))
+            held_v.append(_unpacked(batch.column(1)))
             held += batch.num_rows
             if held >= 50_000:
                 keys, sums = _merge(keys, sums, held_k, held_v)
@@ -145,9 +167,9 @@ def sum_vectors(df: DataFrame, key: str) -> DataFrame:
             keys, sums = _merge(keys, sums, held_k, held_v)
         if keys is not None:
             for part in _slices(len(keys)):
-                yield _list_batch([key, "vector"], keys[part].astype(np.int32), sums[part])
+                yield _packed_batch(keys[part], sums[part])
 
-    return df.repartition(key).mapInArrow(total, f"{key} int, vector array<double>")
+    return df.repartition("col").mapInArrow(total, "col int, packed binary")
 
 
 def _merge(keys, sums, held_k, held_v):
@@ -156,17 +178,25 @@ def _merge(keys, sums, held_k, held_v):
     return _sum_by(np.concatenate(held_k), np.concatenate(held_v))
 
 
-def _fetch(table: DataFrame, key: str, rows: int, width: int) -> np.ndarray:
-    """A (key, vector) table of checked size as a matrix on the driver."""
+def _fetch(table: DataFrame, rows: int, width: int) -> np.ndarray:
+    """A (col, packed) table of checked size as a matrix on the driver."""
     out = np.zeros((rows, width))
-    arrow = table.select(key, "vector").toArrow()
-    if arrow.num_rows:
-        keys = arrow.column(0).to_numpy()
-        flat = arrow.column(1).combine_chunks().flatten().to_numpy()
-        out[keys] = flat.reshape(arrow.num_rows, width)
+    for batch in table.toArrow().to_batches():
+        if batch.num_rows:
+            out[batch.column(0).to_numpy()] = _unpacked(batch.column(1))
     return out
 
 
+def _orthonormal(matrix: np.ndarray) -> np.ndarray:
+    """An orthonormal basis of the columns, by the eigenvectors of their Gram
+    matrix; directions of no weight are left out.  Done twice for accuracy."""
+    for _ in range(2):
+        values, vectors = np.linalg.eigh(matrix.T @ matrix)
+        kept = values > values.max() * 1e-13
+        matrix = matrix @ (vectors[:, kept] / np.sqrt(values[kept]))
+    return matrix
+
+
 def gram(df: DataFrame, column: str, width: int) -> DataFrame:
     """(i, j, value): the ``width`` x ``width`` matrix of sums of v_i * v_j."""
 
@@ -250,7 +280,10 @@ def dense_svd(df: DataFrame, k: int, key: str = "doc_id", column: str = "vector"
 
     Only the Gram matrix of the dimensions reaches the driver.
     """
-    width = len(df.select(column).first()[0])
+    some = df.select(column).first()
+    if some is None:
+        return df.select(key, F.col(column).cast("array<double>").alias("vector"))
+    width = len(some[0])
     vectors, _ = _ritz(_to_matrix(gram(df, column, width), width), min(k, width))
     return project(df, key, column, vectors)
 
@@ -274,13 +307,13 @@ def truncated_svd(
 
 def _svd_shipped(rows: DataFrame, width: int, k: int, p: int, passes: int, seed: int) -> Reduction:
     context = rows.sparkSession.sparkContext
-    sketch = _power_pass(rows, width, lambda idx: signs(idx, p, seed))
-    basis, _ = np.linalg.qr(_fetch(sketch, "col", width, p))
+    basis = _orthonormal(_fetch(_power_pass(rows, width, lambda idx: signs(idx, p, seed)), width, p))
     for _ in range(passes - 1):
         sent = context.broadcast(basis.astype(np.float32))
-        sketch = _fetch(_power_pass(rows, width, lambda idx: sent.value[idx].astype(np.float64)), "col", width, p)
+        sketch = _power_pass(rows, width, lambda idx: sent.value[idx].astype(np.float64))
+        basis = _orthonormal(_fetch(sketch, width, basis.shape[1]))
         sent.unpersist()
-        basis, _ = np.linalg.qr(sketch)
+    p, k = basis.shape[1], min(k, basis.shape[1])
     sent = context.broadcast(basis)
     scores = _times(rows, lambda idx: sent.value[idx], "y")
     turn, singular = _ritz(_to_matrix(gram(scores, "y", p), p), k)

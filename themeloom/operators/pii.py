@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType
 
+from themeloom.functions.arrays import let
+
 SPAN = "struct<entity:string,start:int,end:int,score:double>"
 SPANS = f"array<{SPAN}>"
 
@@ -82,7 +84,7 @@ def spans(column: Column, entities: Sequence[str] | None = None) -> Column:
 
         return texts.map(one)
 
-    return find(column)
+    return find.asNondeterministic()(column)  # else filters on the result run it again
 
 
 def count_by_pattern(column: Column, entity: str) -> Column:
@@ -121,16 +123,12 @@ def resolve(found: Column) -> Column:
 
 def splice(text: Column, pieces: Column) -> Column:
     """``text`` with each (start, end, value) of the sorted, disjoint ``pieces``
-    put in place.  Each array is evaluated once per row."""
-    resume = F.concat(F.array(F.lit(0)), F.transform(pieces, lambda s: s["end"]))
-    parts = F.zip_with(
-        pieces,
-        resume,
-        lambda s, at: F.when(s.isNull(), F.substring(text, at + 1, F.length(text))).otherwise(
-            F.concat(F.substring(text, at + 1, s["start"] - at), s["value"])
-        ),
+    put in place."""
+    put = lambda s, at: F.when(s.isNull(), F.substring(text, at + 1, F.length(text))).otherwise(
+        F.concat(F.substring(text, at + 1, s["start"] - at), s["value"])
     )
-    return F.array_join(parts, "")
+    ends = lambda each: F.concat(F.array(F.lit(0)), F.transform(each, lambda s: s["end"]))
+    return let(pieces, lambda each: F.array_join(F.zip_with(each, ends(each), put), ""))
 
 
 # Stand-in first names.
@@ -203,7 +201,7 @@ def _capital_words(column: Column) -> Column:
             else [{"word": m.group(), "start": m.start(), "end": m.end()} for m in rule.finditer(t) if m.group()[0].isupper()]
         )
 
-    return find(column)
+    return find.asNondeterministic()(column)
 
 
 def name_spans(df: DataFrame, column: str, names: DataFrame, doc: str = "doc_id") -> DataFrame:

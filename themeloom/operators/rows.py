@@ -60,9 +60,19 @@ def with_columns(df: DataFrame, changes: dict[str, Column]) -> DataFrame:
     return df.withColumns(changes).select(*df.columns)
 
 
+def with_value(df: DataFrame, column: str, value: Column) -> DataFrame:
+    """``column`` replaced by a costly ``value``.
+
+    A filter on a plain projection is pushed below it and works the value out
+    again; a filter on a generated column stays above.
+    """
+    kept = [c for c in df.columns if c != column]
+    return df.select(*kept, F.explode(F.array(value)).alias(column)).select(*df.columns)
+
+
 def at_least_length(df: DataFrame, column: str, length: int = params.MIN_TEXT_LENGTH) -> DataFrame:
     """Rows whose stripped text has ``length`` or more characters; text is stripped."""
-    return df.withColumn(column, text.strip(F.col(column))).filter(F.length(column) >= length)
+    return with_value(df, column, text.strip(F.col(column))).filter(F.length(column) >= length)
 
 
 def longer_than(df: DataFrame, column: str, length: int = params.MIN_SENTENCE_LENGTH) -> DataFrame:

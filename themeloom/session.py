@@ -61,3 +61,13 @@ def store(df: DataFrame, name: str = "table") -> DataFrame:
 def count_up_to(df: DataFrame, bound: int) -> int:
     """Number of rows of ``df``, counting no further than ``bound + 1``."""
     return df.limit(bound + 1).count()
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Use all cores on a table that comes in fewer files than there are cores.
+
+    A small file often is one row group, and a gzip CSV file is never split, so
+    one task would do all the work.  Tables in many files stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
