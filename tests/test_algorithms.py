@@ -125,6 +125,21 @@ def test_merge_rounds_match_one_at_a_time(spark, method):
     assert np.allclose([m["distance"] for m in got], [w[2] for w in want])
 
 
+@pytest.mark.parametrize("method", ["ward", "average"])
+def test_merge_rounds_finish_with_ties(spark, method):
+    pairs = spark.createDataFrame([(i, j, 0.7 if (i + j) % 2 else 0.7 + 1e-16) for i in range(12) for j in range(i + 1, 12)], "a int, b int, distance double")
+    got = linkage.merge_rounds(pairs, method)
+    assert len(got) == 11 and got[-1]["topics"] == list(range(12))
+
+
+def test_merge_rounds_stop_and_refuse_missing_pairs(spark):
+    pairs = spark.createDataFrame([(0, 1, 0.1), (0, 2, 0.5), (1, 2, 0.6), (0, 3, 0.9), (1, 3, 0.9), (2, 3, 0.8)], "a int, b int, distance double")
+    assert [m["topics"] for m in linkage.merge_rounds(pairs, "average", stop_count=3)] == [[0, 1]]
+    assert [m["topics"] for m in linkage.merge_rounds(pairs, "average", stop_at=0.56)] == [[0, 1], [0, 1, 2]]
+    with pytest.raises(ValueError):
+        linkage.merge_rounds(pairs.filter("a <> 2 and b <> 2").union(spark.createDataFrame([(4, 5, 1.0)], pairs.schema)), "average")
+
+
 def planted(seed=5):
     rng = np.random.default_rng(seed)
     centres = rng.normal(size=(3, 5)) * 10
