@@ -111,27 +111,41 @@ def reduce_for_clusters(vectors: DataFrame, k: int = params.CLUSTER_DIMENSIONS)
     return linalg.dense_svd(normal, k)
 
 
-def _grid_cell(step: float):
-    return F.transform("vector", lambda x: F.floor(x / F.lit(step)))
+def _grid_cell(low: float, step: float | None):
+    """The vector itself, or its cell in a grid that starts at ``low``."""
+    return F.col("vector") if step is None else F.transform("vector", lambda x: F.floor((x - F.lit(low)) / F.lit(step)))
+
+
+def _cell_side(vectors: DataFrame, limit: int) -> tuple[float, float | None]:
+    """The smallest of a row of doubling cell sides that gives ``limit`` cells or
+    fewer; None where the distinct vectors already fit.
+
+    One scan estimates the cells of all sides; only likely ones are counted
+    exactly.  The last side is wider than the data, so it gives one cell.
+    """
+    if vectors.select("vector").distinct().limit(limit + 1).count() <= limit:
+        return 0.0, None
+    low, high = vectors.select(F.explode("vector").alias("x")).agg(F.min("x"), F.max("x")).first()
+    sides = [(high - low) / 1024.0 * 2**i for i in range(12)]
+    rough = vectors.agg(
+        *[F.approx_count_distinct(F.xxhash64(_grid_cell(low, s)), 0.02).alias(f"s{i}") for i, s in enumerate(sides)]
+    ).first()
+    for side, cells in zip(sides, rough):
+        if cells <= limit * 1.1 and vectors.select(_grid_cell(low, side)).distinct().limit(limit + 1).count() <= limit:
+            return low, side
+    return low, sides[-1]
 
 
 def micro_clusters(vectors: DataFrame, limit: int = params.MICRO_LIMIT) -> tuple[DataFrame, DataFrame]:
     """(micro, vector, weight) and (doc_id, micro).
 
     Up to ``limit`` distinct vectors, each is its own micro cluster.  Beyond
-    that, vectors share a grid cell whose side doubles until the number of
-    cells fits; a cell keeps the mean and the count of all its rows, so every
-    document stays in the result and no dense cell is ever held whole.
+    that, vectors share a grid cell; a cell keeps the mean and the count of all
+    its rows, so every document stays in the result and no dense cell is ever
+    held whole.
     """
-    step = None
-    cell = F.col("vector")
-    while vectors.select(cell.alias("cell")).distinct().limit(limit + 1).count() > limit:
-        if step is None:
-            low_high = vectors.select(F.explode("vector").alias("x")).agg(F.min("x"), F.max("x")).first()
-            step = max((low_high[1] - low_high[0]) / 1024.0, 1e-12)
-        else:
-            step *= 2
-        cell = _grid_cell(step)
+    low, step = _cell_side(vectors, limit)
+    cell = _grid_cell(low, step)
     marked = store(vectors.select("doc_id", "vector", cell.alias("cell")), "cells")
     groups = marked.groupBy("cell").agg(F.min("doc_id").alias("micro"), F.count("*").alias("weight"))
     groups = store(groups, "micro")
