@@ -178,3 +178,14 @@ def test_topic_similarity_covers_all_pairs(spark):
     got = {(r[0], r[1]): r[2] for r in display.term_similarity(weights).collect()}
     assert len(got) == 9
     assert np.isclose(got[(0, 1)], 2 / 5**0.5) and got[(0, 5)] == 0.0 and np.isclose(got[(5, 5)], 1.0)
+
+
+def test_join_counted_is_a_plain_inner_join(spark, monkeypatch):
+    from themeloom.operators import skew
+
+    monkeypatch.setattr(skew, "HOT_KEYS", 5)
+    left = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, "hot").otherwise((F.col("id") % 40).cast("string")).alias("term"))
+    right = left.groupBy("term").agg(F.count("*").alias("df"))
+    key = lambda r: (r["id"], r["term"], r["df"])
+    got = sorted(map(key, skew.join_counted(left, right, ["term"], "df").collect()))
+    assert got == sorted(map(key, left.join(right, "term").collect())) and len(got) == 3000

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from themeloom import params
 from themeloom.functions import arrays, text
 from themeloom.operators.rows import as_label_text
+from themeloom.operators.skew import join_counted
 
 
 def joined_text_sizes(docs: DataFrame, column: str, topic: str = "topic") -> DataFrame:
@@ -39,7 +40,7 @@ def term_factors(counts: DataFrame, topic: str = "topic") -> DataFrame:
 
 
 def class_tfidf(counts: DataFrame, topic: str = "topic", factors: DataFrame | None = None) -> DataFrame:
-    """(topic, term, weight, factor): term share within the topic times its factor.
+    """(topic, term, n, weight, factor): term share within the topic times its factor.
 
     Without given ``factors`` they come from a sum over each term's topics, which
     needs one shuffle and no join.
@@ -51,7 +52,7 @@ def class_tfidf(counts: DataFrame, topic: str = "topic", factors: DataFrame | No
     else:
         known = counts.join(factors, "term")
     return known.join(totals, topic).select(
-        topic, "term", (F.col("n") / F.col("_total") * F.col("factor")).alias("weight"), "factor"
+        topic, "term", "n", (F.col("n") / F.col("_total") * F.col("factor")).alias("weight"), "factor"
     )
 
 
@@ -118,11 +119,13 @@ def aspect_labels(words: DataFrame, aspect: str, parts: int = 4, separator: str
 
 def document_terms_similarity(doc_counts: DataFrame, weights: DataFrame) -> DataFrame:
     """(topic, doc_id, similarity) of each document with its own topic, both as
-    weighted terms; ``weights`` carries the factor of each term."""
+    weighted terms.  ``weights`` is a stored result of ``class_tfidf``; its ``n``
+    tells which terms of a topic are in many documents."""
     lengths = weights.groupBy("topic").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("_topic_length"))
+    known = weights.select("topic", "term", "weight", "factor", F.col("n").alias("_uses"))
     own = F.col("n") * F.col("factor")
     sums = (
-        doc_counts.join(weights.select("topic", "term", "weight", "factor"), ["topic", "term"])
+        join_counted(doc_counts, known, ["topic", "term"], "_uses")
         .groupBy("topic", "doc_id")
         .agg(F.sum(own * F.col("weight")).alias("_dot"), F.sqrt(F.sum(own * own)).alias("_length"))
     )

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from themeloom import params
 from themeloom.operators.rows import number_rows
+from themeloom.operators.skew import join_counted
 from themeloom.session import store
 
 _CHUNK = 200_000  # matrix entries handled at once inside a task
@@ -55,7 +56,7 @@ def tfidf_rows(counts: DataFrame, doc: str = "doc_id") -> tuple[DataFrame, DataF
     n = counts.agg(F.count_distinct(doc).alias("n")).first()["n"]
     weight = F.col("tf") * (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1)
     rows = (
-        counts.join(vocabulary, "term")
+        join_counted(counts, vocabulary, ["term"], "df")
         .select(F.col(doc).alias("key"), F.col("col").cast("int").alias("col"), weight.alias("w"))
         .groupBy("key")
         .agg(F.sort_array(F.collect_list(F.struct("col", "w"))).alias("e"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("len"))

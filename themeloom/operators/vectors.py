@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from themeloom import params
 from themeloom.functions import arrays, text
+from themeloom.operators.skew import join_counted
+from themeloom.session import store
 
 
 def english_stop_words() -> list[str]:
@@ -40,9 +42,8 @@ def tfidf(counts: DataFrame, doc: str = "doc_id", documents: int | None = None)
         total = counts.agg(F.count_distinct(doc).alias("n")).first()["n"]
         n = F.lit(total)
     idf = F.log((1 + n) / (1 + F.col("df"))) + 1
-    return counts.join(document_frequency(counts), "term").select(
-        doc, "term", (F.col("tf") * idf).alias("weight")
-    )
+    frequency = store(document_frequency(counts), "frequency")
+    return join_counted(counts, frequency, ["term"], "df").select(doc, "term", (F.col("tf") * idf).alias("weight"))
 
 
 def l2_rows(weights: DataFrame, doc: str = "doc_id") -> DataFrame:
