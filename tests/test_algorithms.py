@@ -184,6 +184,7 @@ def test_join_counted_is_a_plain_inner_join(spark, monkeypatch):
     from themeloom.operators import skew
 
     monkeypatch.setattr(skew, "HOT_KEYS", 5)
+    monkeypatch.setattr(skew, "EASY_ROWS", 200)
     left = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, "hot").otherwise((F.col("id") % 40).cast("string")).alias("term"))
     right = left.groupBy("term").agg(F.count("*").alias("df"))
     key = lambda r: (r["id"], r["term"], r["df"])

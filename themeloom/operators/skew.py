@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 HOT_KEYS = 10_000
+EASY_ROWS = 1_000_000  # rows of one key that are no burden for a task
 
 
 def join_counted(left: DataFrame, right: DataFrame, on: Sequence[str], rows: str) -> DataFrame:
@@ -15,11 +16,15 @@ def join_counted(left: DataFrame, right: DataFrame, on: Sequence[str], rows: str
 
     Keys with more than a 10,000th of the total are fewer than 10,000, so they
     are sent to the tasks and their rows never meet in one; the other keys are
-    shuffled, none of them large.
+    shuffled, none of them large.  With no key of over a million rows this is a
+    plain join.
     """
     on = list(on)
-    total = right.agg(F.sum(rows)).first()[0] or 0
-    hot = F.col(rows) > total / HOT_KEYS
+    total, largest = right.agg(F.sum(rows), F.max(rows)).first()
+    least = max((total or 0) / HOT_KEYS, EASY_ROWS)
+    if (largest or 0) <= least:
+        return left.join(right, on)
+    hot = F.col(rows) > least
     few = right.filter(hot)
     rest = left.join(F.broadcast(few.select(*on)), on, "left_anti").join(right.filter(~hot), on)
     return left.join(F.broadcast(few), on).unionByName(rest)
