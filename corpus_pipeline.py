@@ -22,8 +22,9 @@ SIMILARITY = Fraction(8, 10)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Documents whose score is below ``TOXIC``; learned from all labelled documents that are at hand."""
-    weights = toxicity.train(docs, table(spark, folder, "labels").select("doc_id", "toxic"))
+    """Documents whose score is below ``TOXIC``; held-out rows are not learned from."""
+    labels = table(spark, folder, "labels").select("doc_id", "toxic").filter(~toxicity.held_out())
+    weights = toxicity.train(docs, labels)
     whole = docs.select(F.struct("*").alias("_row"), "doc_id", "text")
     kept = toxicity.score(whole, weights, keep=("_row",)).filter(F.col("score") < TOXIC)
     return kept.select("_row.*").select(*docs.columns)
