@@ -10,11 +10,12 @@
    found there join sets to components.  Two sets of one component need no comparison.
 5. What is left are pairs of a list in different components, which size and position allow; these are compared.
 
-Each comparison counts the common shingles of the two whole sets.  No pair of a list is made twice or within a
+Each comparison counts the common shingles of the two whole sets; filters of a fixed size keep shingles of one set, and
+documents without a comparison, from being shuffled.  No pair of a list is made twice or within a
 component, copies are never paired, and no list is gathered in a task: blocks are grouped and joined by Spark.
 
 Null and empty texts, and texts without a word, have an empty set and link with nothing.  A null id takes no part and
-gets a null component.  Rows that share an id count as one document in links and are each returned.  An empty table
+gets a null component.  Rows that share an id count as one document: it has the links of each of its texts, and every row is returned.  An empty table
 gives no rows; columns that are not asked for are not read.
 """
 
@@ -34,6 +35,8 @@ from themeloom.session import store
 #: Most shingles whose frequency is sent to the tasks (12 bytes each).
 FREQUENT = 200_000
 LEAST_SEEN = 4
+#: Words of 64 bits of a filter that is sent to the tasks (8 MB, whatever it holds; a fuller one lets more rows pass).
+FILTER_WORDS = 1 << 20
 _SIZE_BITS = 31  # size and position share a long
 
 
@@ -108,12 +111,52 @@ def prefixes(docs: DataFrame, words: int, least: Fraction, common: tuple[np.ndar
     return map_batches(docs, run, "doc_id bigint, n bigint, prefix array<bigint>")
 
 
-def whole_sets(docs: DataFrame, words: int) -> DataFrame:
+def key_filter(keys: DataFrame, column: str) -> np.ndarray:
+    """Bits of the 64-bit hashes in ``column``: a hash that is not there is ruled out, unless its bit is shared."""
+    h = F.col(column)
+    word, bit = h.bitwiseAND(FILTER_WORDS - 1), F.shiftrightunsigned(h, 58).cast("int")
+    places = keys.select(word.cast("int").alias("word"), bit.alias("bit"))
+    found = places.groupBy("word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits")).toArrow()  # FILTER_WORDS rows at most
+    out = np.zeros(FILTER_WORDS, np.uint64)
+    out[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
+    return out
+
+
+def _may_be_in(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    return (bits[hashes & np.uint64(FILTER_WORDS - 1)] >> (hashes >> np.uint64(58))) & np.uint64(1) == 1
+
+
+def shared_postings(prefix: DataFrame) -> DataFrame:
+    """(hash, id, spot) of the lists with more than one entry; a filter keeps most others from being shuffled."""
+    hashes = prefix.select(F.explode("prefix").alias("hash")).groupBy("hash").agg(F.count("*").alias("length"))
+    shared = store(hashes.filter("length > 1").select("hash"), "shared")
+    sent = prefix.sparkSession.sparkContext.broadcast(key_filter(shared, "hash"))
+
     def run(batch: pa.RecordBatch) -> dict:
+        lists = batch.column(2)
+        flat, ends = lists.flatten().to_numpy(), lists.offsets.to_numpy()
+        ends = ends - ends[0]
+        row = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+        at = np.flatnonzero(_may_be_in(sent.value, flat.view(np.uint64)))
+        row = row[at]
+        spot = (batch.column(1).to_numpy()[row] << _SIZE_BITS) | (at - ends[row])
+        return {"hash": pa.array(flat[at]), "id": pa.array(batch.column(0).to_numpy()[row]), "spot": pa.array(spot)}
+
+    return map_batches(prefix, run, "hash bigint, id bigint, spot bigint").join(shared, "hash")
+
+
+def whole_sets(docs: DataFrame, words: int, ids: DataFrame) -> DataFrame:
+    """(doc_id, members) of the documents in ``ids``, and of a few that its filter lets pass."""
+    sent = docs.sparkSession.sparkContext.broadcast(key_filter(ids.select(F.xxhash64("doc_id").alias("key")), "key"))
+
+    def run(batch: pa.RecordBatch) -> dict:
+        wanted = pa.array(_may_be_in(sent.value, batch.column(2).to_numpy().view(np.uint64)))
+        batch = batch.filter(wanted)
         parts = [shingles(raw, words).view(np.int64) for raw in raw_texts(batch.column(1))]
         return {"doc_id": batch.column(0), "members": array_of_lists(parts, pa.int64())}
 
-    return map_batches(docs, run, "doc_id bigint, members array<bigint>")
+    keyed = docs.filter("doc_id IS NOT NULL").select("doc_id", "text", F.xxhash64("doc_id").alias("key"))
+    return map_batches(keyed, run, "doc_id bigint, members array<bigint>")
 
 
 def _possible(least: Fraction, a: str, b: str):
@@ -130,7 +173,7 @@ def _possible(least: Fraction, a: str, b: str):
 def links(pairs: DataFrame, sets: DataFrame, least: Fraction) -> DataFrame:
     """The (a, b) whose whole sets are similar enough."""
     up, down = least.numerator, least.denominator
-    sets = sets.select("doc_id", "members")
+    sets = store(sets.select("doc_id", "members"), "members")
     both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
     shared = F.size(F.array_intersect("sa", "sb")).cast("bigint")
     joined = F.size("sa").cast("bigint") + F.size("sb") - shared
@@ -157,15 +200,9 @@ def jaccard_components(docs: DataFrame, words: int, least: Fraction, doc_id: str
     own = full.join(classes, "digest").filter("doc_id <> id").select("doc_id", "id", "digest")
     again = own.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a < b").select("a", "b")
 
-    spot = F.shiftleft("n", _SIZE_BITS).bitwiseOR(F.col("at").cast("bigint"))
     band = F.floor(F.log("n") / float(np.log(least.denominator / least.numerator)))
-    postings = (
-        prefixes(docs, words, least, common).join(classes.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
-        .select("doc_id", "n", F.posexplode("prefix").alias("at", "hash"))
-        .select("hash", F.col("doc_id").alias("id"), spot.alias("spot"))
-    )
-    shared = postings.groupBy("hash").agg(F.count("*").alias("length")).filter("length > 1").select("hash")
-    lists = store(postings.join(shared, "hash"), "lists")
+    prefix = prefixes(docs, words, least, common).join(classes.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    lists = store(shared_postings(store(prefix, "prefixes")), "lists")
     blocks = lists.withColumn("n", F.shiftright("spot", _SIZE_BITS)).withColumn("band", band).select("hash", "band", "id", "spot")
 
     leaders = blocks.groupBy("hash", "band").agg(F.min(F.struct("id", "spot")).alias("first"), F.count("*").alias("length"))
@@ -173,9 +210,8 @@ def jaccard_components(docs: DataFrame, words: int, least: Fraction, doc_id: str
     near = blocks.alias("x").join(leaders.alias("l"), ["hash", "band"]).filter("x.id <> l.id").filter(_possible(least, "x", "l"))
     stars = store(near.select(F.col("l.id").alias("a"), F.col("x.id").alias("b")).distinct(), "stars")
 
-    listed = lists.select(F.col("id").alias("doc_id")).distinct()
-    sets = store(whole_sets(docs.join(listed, "doc_id", "left_semi").dropDuplicates(["doc_id"]), words), "members")
-    found = store(links(stars, sets, least).union(again), "links")
+    sets = lambda pairs: whole_sets(docs, words, pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))).distinct()
+    found = store(links(stars, sets(stars), least).union(again), "links")
     first = _components(found)
 
     placed = store(
@@ -190,7 +226,7 @@ def jaccard_components(docs: DataFrame, words: int, least: Fraction, doc_id: str
     ).filter(_possible(least, "x", "y"))
     rest = rest.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
     rest = store(rest.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "rest")
-    later = links(rest, sets, least)
+    later = links(rest, sets(rest), least)
     last = _components(found.union(later))
 
     placed = classes.join(last, "id", "left").select("digest", F.coalesce("component", "id").alias("component_id"))
