@@ -173,8 +173,9 @@ def _possible(least: Fraction, a: str, b: str):
 def links(pairs: DataFrame, sets: DataFrame, least: Fraction) -> DataFrame:
     """The (a, b) whose whole sets are similar enough."""
     up, down = least.numerator, least.denominator
-    sets = store(sets.select("doc_id", "members"), "members")
-    both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
+    # Sort-merge joins at every size: adaptive execution splits a leader with many partners there, and the sets are
+    # shuffled once for both joins.
+    both = pairs.join(sets.toDF("a", "sa").hint("merge"), "a").join(sets.toDF("b", "sb").hint("merge"), "b")
     shared = F.size(F.array_intersect("sa", "sb")).cast("bigint")
     joined = F.size("sa").cast("bigint") + F.size("sb") - shared
     return both.filter(down * shared >= up * joined).select("a", "b")
@@ -201,7 +202,9 @@ def jaccard_components(docs: DataFrame, words: int, least: Fraction, doc_id: str
     again = own.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a < b").select("a", "b")
 
     band = F.floor(F.log("n") / float(np.log(least.denominator / least.numerator)))
-    prefix = prefixes(docs, words, least, common).join(classes.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    prefix = prefixes(docs, words, least, common).join(
+        classes.select(F.col("id").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi"
+    )
     lists = store(shared_postings(store(prefix, "prefixes")), "lists")
     blocks = lists.withColumn("n", F.shiftright("spot", _SIZE_BITS)).withColumn("band", band).select("hash", "band", "id", "spot")
 
@@ -210,7 +213,9 @@ def jaccard_components(docs: DataFrame, words: int, least: Fraction, doc_id: str
     near = blocks.alias("x").join(leaders.alias("l"), ["hash", "band"]).filter("x.id <> l.id").filter(_possible(least, "x", "l"))
     stars = store(near.select(F.col("l.id").alias("a"), F.col("x.id").alias("b")).distinct(), "stars")
 
-    sets = lambda pairs: whole_sets(docs, words, pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))).distinct()
+    sets = lambda pairs: whole_sets(docs, words, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
+    if not full.groupBy("doc_id", "digest").count().filter("count > 1").isEmpty():
+        plain, sets = sets, lambda pairs: plain(pairs).distinct()  # rows that repeat: one set of each is enough
     found = store(links(stars, sets(stars), least).union(again), "links")
     first = _components(found)
 
@@ -226,7 +231,7 @@ def jaccard_components(docs: DataFrame, words: int, least: Fraction, doc_id: str
     ).filter(_possible(least, "x", "y"))
     rest = rest.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
     rest = store(rest.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "rest")
-    later = links(rest, sets(rest), least)
+    later = store(links(rest, sets(rest), least), "links")
     last = _components(found.union(later))
 
     placed = classes.join(last, "id", "left").select("digest", F.coalesce("component", "id").alias("component_id"))
