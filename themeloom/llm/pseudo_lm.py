@@ -5,7 +5,7 @@ table of token vectors; their sum goes through tanh, and two softmax layers give
 token within the class.  A document's score is the sum of the log-probabilities of all its tokens.
 
 Tokens: words of all documents are counted; the most frequent have a token each, every other word falls in one of the
-``HASHED`` tokens by its hash.  A token's class holds tokens of similar frequency.
+``HASHED`` tokens by its hash.  A token's class holds tokens of similar frequency.  The output biases start from these counts.
 
 Training runs in ``ROUNDS``.  In a round, each task trains its own copy by Adagrad on its part of the documents (a
 round's share is chosen by a hash of the id), on windows at every ``STRIDE``-th place of every document, and sends back
@@ -27,6 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from themeloom.llm.batches import WORDS, map_batches, raw_texts
+from themeloom.session import store
 
 CLASSES = 32
 PER_CLASS = 32
@@ -35,8 +36,9 @@ REACH = 2
 WIDTH = 24
 STRIDE = 8
 ROUNDS = 2
-RATE = 0.15
-WINDOWS_AT_ONCE = 2_048
+RATE = 0.1
+START_SQUARES = 1e-6
+WINDOWS_AT_ONCE = 1_024
 TOKENS_AT_ONCE = 32_768
 BLOCK = 8_192
 TREE = 16
@@ -50,8 +52,11 @@ def token_hashes(text: bytes) -> np.ndarray:
 class Vocabulary:
     """Token numbers of word hashes: frequent words first, in the order of their counts."""
 
-    def __init__(self, frequent: np.ndarray, hashed: int = HASHED):
-        """``frequent``: hashes of the words that have a token, the most frequent first."""
+    def __init__(self, frequent: np.ndarray, counts: np.ndarray, total: int, hashed: int = HASHED, size: int = CLASSES * PER_CLASS):
+        """``frequent``: hashes of the words that have a token, the most frequent first, and their ``counts`` of ``total``."""
+        self.shares = np.full(size, 0.5 / (total + size))
+        self.shares[: len(frequent)] += counts / (total + size)
+        self.shares[len(frequent): len(frequent) + hashed] += max(0, total - counts.sum()) / hashed / (total + size)
         self.order = np.argsort(frequent)
         self.sorted, self.frequent, self.hashed = frequent[self.order], len(frequent), hashed
 
@@ -72,8 +77,10 @@ def learn_vocabulary(docs: DataFrame, size: int = CLASSES * PER_CLASS, hashed: i
         return {"hash": pa.array(hashes.view(np.int64)), "n": pa.array(counts, pa.int64())}
 
     counts = map_batches(docs.select("text"), count, "hash bigint, n bigint").groupBy("hash").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "hash").limit(size - hashed).select("hash").toArrow()  # a fixed number of rows
-    return Vocabulary(top["hash"].to_numpy().view(np.uint64), hashed)
+    counts = store(counts, "words")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    top = counts.orderBy(F.desc("n"), "hash").limit(size - hashed).toArrow()  # a fixed number of rows
+    return Vocabulary(top["hash"].to_numpy().view(np.uint64), top["n"].to_numpy(), total, hashed, size)
 
 
 def _log_softmax(x: np.ndarray) -> np.ndarray:
@@ -101,6 +108,12 @@ class WindowNetwork:
             setattr(self, name, flat[at: at + int(np.prod(shape))].reshape(shape))
             at += int(np.prod(shape))
 
+    def start_from(self, shares: np.ndarray) -> None:
+        """Output biases that give each token its share."""
+        by_class = shares.reshape(self.classes, self.per_class)
+        self.class_b[:] = np.log(by_class.sum(axis=1))
+        self.token_b[:] = np.log(by_class)
+
     def contexts(self, tokens: np.ndarray, starts: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Tokens around the places ``at`` of concatenated documents; beyond a document's ends an empty token."""
         doc = np.searchsorted(starts, at, "right") - 1
@@ -133,7 +146,7 @@ class WindowNetwork:
 class Trainer:
     def __init__(self, net: WindowNetwork, rate: float = RATE):
         self.net, self.rate = net, rate
-        self.squares = WindowNetwork(np.full_like(net.flat, 1e-2), net.classes, net.per_class, net.width, net.reach)
+        self.squares = WindowNetwork(np.full_like(net.flat, START_SQUARES), net.classes, net.per_class, net.width, net.reach)
 
     def _step(self, name: str, where, gradient: np.ndarray) -> None:
         squares, values = getattr(self.squares, name), getattr(self.net, name)
@@ -179,6 +192,7 @@ def _joined(texts: list[bytes], vocabulary: Vocabulary) -> tuple[np.ndarray, np.
 
 def train_network(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS, stride: int = STRIDE) -> WindowNetwork:
     net = WindowNetwork()
+    net.start_from(vocabulary.shares)
     for turn in range(rounds):
         net = WindowNetwork(_train_round(docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == turn), vocabulary, net.flat, stride))
     return net
