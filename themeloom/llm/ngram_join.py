@@ -1,7 +1,7 @@
 """Exact Jaccard self-join of documents on sets of word n-grams, with set-relation skipping.
 
 1. Documents with equal sets form a class; one of them (the smallest id) stands for it from here on.
-2. Every set is ordered with frequent shingles last.  A batch reports the shingles that several of its sets share; the
+2. Every set is ordered with frequent shingles last.  A batch of sets reports the shingles that several of them share; the
    most frequent ones (``FREQUENT`` at most, by a count threshold) are sent to the tasks.  The order changes the work,
    never the result.
 3. The inverted index holds the prefix of each set that any partner must share, with set size and position.  Lists are
@@ -35,6 +35,7 @@ from themeloom.session import store
 #: Most shingles whose frequency is sent to the tasks (12 bytes each).
 FREQUENT = 200_000
 LEAST_SEEN = 4
+TOGETHER = 4_000  # sets whose shingles a task counts at a time
 #: Words of 64 bits of a filter that is sent to the tasks (8 MB, whatever it holds; a fuller one lets more rows pass).
 FILTER_WORDS = 1 << 20
 _SIZE_BITS = 31  # size and position share a long
@@ -44,19 +45,24 @@ def sets_of(docs: DataFrame, words: int) -> DataFrame:
     """(doc_id, n_shingles, digest) of each row, and (hash, seen) of shingles that several sets of a batch hold."""
 
     def run(batch: pa.RecordBatch) -> dict:
-        sizes, digests, distinct = [], [], {}
-        for raw in raw_texts(batch.column(1)):
-            found = shingles(raw, words)
-            sizes.append(len(found))
-            digests.append(xxhash.xxh3_128_digest(found.tobytes()))
-            if len(found):
-                distinct.setdefault(digests[-1], found)
-        hashes, seen = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        if len(distinct) > 1:
-            every = np.sort(np.concatenate(list(distinct.values())))
-            first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
-            count = np.diff(np.append(first, len(every)))
-            hashes, seen = every[first][count > 1], count[count > 1]
+        sizes, digests, often = [], [], []
+        texts = raw_texts(batch.column(1))
+        for some in range(0, len(texts), TOGETHER):
+            distinct = {}
+            for raw in texts[some: some + TOGETHER]:
+                found = shingles(raw, words)
+                sizes.append(len(found))
+                digests.append(xxhash.xxh3_128_digest(found.tobytes()))
+                if len(found):
+                    distinct.setdefault(digests[-1], found)
+            if len(distinct) > 1:
+                every = np.concatenate(list(distinct.values()))
+                every.sort()
+                first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
+                count = np.diff(np.append(first, len(every)))
+                often.append((every[first[count > 1]], count[count > 1]))
+        hashes = np.concatenate([np.zeros(0, np.uint64), *(h for h, _ in often)])
+        seen = np.concatenate([np.zeros(0, np.int64), *(c for _, c in often)])
         none, rows = len(hashes), len(sizes)
         return {
             "doc_id": pa.concat_arrays([batch.column(0), pa.nulls(none, pa.int64())]),
