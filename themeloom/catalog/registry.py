@@ -53,7 +53,7 @@ TEXTS = """texts AS (
 
 def class_documents(spark: SparkSession, folder: str) -> DataFrame:
     """Documents with a topic taken from ``source``: src0 is the outlier class."""
-    topic = (F.substring("source", 4, 9).cast("int") - 1).cast("int")
+    topic = (F.expr("substring(source, 4)").cast("int") - 1).cast("int")
     return documents(spark, folder).select("doc_id", "text", topic.alias("topic"))
 
 

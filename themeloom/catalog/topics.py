@@ -321,7 +321,8 @@ def _(spark, folder):
 
 
 @query("V8_topic_levels", f"""WITH {CLASS_DOCUMENTS}, {_CHAIN}, n AS (SELECT count(*) AS n FROM merges), l AS (SELECT unnest(range(1, least(10, (SELECT n FROM n)) + 1)) AS level),
-  pos AS (SELECT level, level * (n // least(10, n)) + least(level, n % least(10, n)) AS p FROM l, n),
+  back AS (SELECT level, n, least(10, n) AS k, least(10, n) - level + 1 AS i FROM l, n),
+  pos AS (SELECT level, n + 1 - i * (n // k) - least(i, n % k) AS p FROM back),
   cuts AS (SELECT level, distance AS cut FROM pos JOIN (SELECT distance, row_number() OVER (ORDER BY distance) AS p FROM merges) USING (p)),
   w AS (SELECT topic, level, max(parent) AS parent FROM held JOIN cuts ON distance <= cut GROUP BY topic, level),
   tops AS (SELECT DISTINCT topic FROM docs)

@@ -216,14 +216,14 @@ def parent_info(info: DataFrame, position: str = "sentence_pos") -> DataFrame:
 
 
 def diverse_words(words: DataFrame, term_vectors: DataFrame, centres: DataFrame, n: int = params.WORDS_PER_TOPIC,
-                  diversity: float = params.MMR_DIVERSITY) -> DataFrame:
+                  diversity: float = params.MMR_DIVERSITY, considered: int = params.MMR_CANDIDATES) -> DataFrame:
     """Topic words picked for closeness to the topic and distance to each other.
 
-    ``words`` holds a few candidates per topic (at most 30 are looked at), so
+    The ``considered`` best words of each topic are candidates, so
     each group is small; the pick is a small numpy loop per topic.
     """
     candidates = (
-        words.filter(F.col("rank") <= 30)
+        words.filter(F.col("rank") <= considered)
         .join(term_vectors.select(F.col("term").alias("word"), "vector"), "word")
         .join(centres.select("topic", F.col("vector").alias("centre")), "topic")
     )

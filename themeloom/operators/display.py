@@ -203,9 +203,10 @@ def named_hierarchy(merges: DataFrame, parent_words: DataFrame, words: DataFrame
 def level_cuts(merges: DataFrame, levels: int = params.HIERARCHY_LEVELS, scale: str = "linear") -> DataFrame:
     """(level, cut): distance cuts, level 1 the finest.
 
-    Linear: merges in order of distance are split into equal runs and each
-    run's largest distance is a cut.  Log: cuts at logarithmically spaced
-    merge positions.  With fewer merges than levels there is one per merge.
+    Linear: merges from the largest distance down are split into equal runs
+    and each run's smallest distance is a cut.  Log: cuts at logarithmically
+    spaced positions from the largest distance down.  With fewer merges than
+    levels there is one per merge.
     """
     total = merges.count()
     levels = min(levels, total)
@@ -224,7 +225,8 @@ def level_cuts(merges: DataFrame, levels: int = params.HIERARCHY_LEVELS, scale:
         ends = [min(e, total - 1) for e in ends]
     else:
         raise ValueError("scale is 'linear' or 'log'")
-    wanted = merges.sparkSession.createDataFrame([(i + 1, e) for i, e in enumerate(ends)], "level int, pos long")
+    places = [total - 1 - e for e in reversed(ends)]
+    wanted = merges.sparkSession.createDataFrame([(i + 1, p) for i, p in enumerate(places)], "level int, pos long")
     return wanted.join(ranked, "pos").select("level", F.col("Distance").alias("cut"))
 
 

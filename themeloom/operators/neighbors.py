@@ -32,11 +32,10 @@ def best_items(scores: np.ndarray, k: int) -> np.ndarray:
     if k == 1:
         return scores.argmax(axis=1)[:, None]
     kth = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
-    picked = np.empty((len(scores), k), dtype=np.int64)
-    for row, (values, limit) in enumerate(zip(scores, kth[:, 0])):
-        candidates = np.flatnonzero(values >= limit)
-        picked[row] = candidates[np.argsort(-values[candidates], kind="stable")[:k]]
-    return picked
+    row, position = np.nonzero(scores >= kth)  # k or, with ties at the limit, more of each row
+    order = np.lexsort((position, -scores[row, position], row))
+    starts = np.searchsorted(row[order], np.arange(len(scores)))
+    return position[order][starts[:, None] + np.arange(k)]
 
 
 def _search(query_ids, queries, item_ids, items, k, metric, skip_self, soft=None) -> pd.DataFrame:

@@ -23,6 +23,7 @@ LABEL_WORDS = 3
 LABEL_SEPARATOR = ", "
 REPRESENTATIVE_DOCS = 3
 MMR_DIVERSITY = 0.5
+MMR_CANDIDATES = 30
 
 HIERARCHY_LEVELS = 10
 HIERARCHY_NAME_WORDS = 5

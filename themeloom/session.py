@@ -58,11 +58,6 @@ def store(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def count_up_to(df: DataFrame, bound: int) -> int:
-    """Number of rows of ``df``, counting no further than ``bound + 1``."""
-    return df.limit(bound + 1).count()
-
-
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Use all cores on a table that comes in fewer files than there are cores.
 
