@@ -5,6 +5,7 @@ import pytest
 
 from themeloom.operators import display
 from themeloom.operators.neighbors import best_items
+from themeloom.plans import extract
 from themeloom.sources import readers
 
 
@@ -32,3 +33,13 @@ def test_best_items_with_ties():
     for k in (1, 3, 12, 20):
         want = [sorted(range(12), key=lambda i: (-row[i], i))[: min(k, 12)] for row in scores]
         assert best_items(scores, k).tolist() == want
+
+
+def test_documents_without_tokens_stay(spark):
+    texts = [f"apple pear plum fruit {k % 3}" if k % 2 else f"engine wheel brake motor {k % 3}" for k in range(18)] + [". ! ?", "a b c"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = extract.extract_topics(df, "text", min_docs=3, min_share=0.0, max_share=1.0)
+    got = {r["doc_id"]: r for r in model.assignments.collect()}
+    assert sorted(got) == list(range(20))
+    assert got[18]["topic"] == -1 and got[18]["probability"] == 0.0
+    assert extract.result_tables(model, df, "text")["document_info"].count() == 20

@@ -20,11 +20,8 @@ def keep_first(df: DataFrame, column: str, order: str) -> DataFrame:
 
     Null texts count as one value, as any other.
     """
-    kept = (
-        df.groupBy(text_key(column).alias("_key"))
-        .agg(F.min_by(F.struct(*df.columns), F.col(order)).alias("_row"))
-    )
-    return kept.select("_row.*")
+    firsts = df.groupBy(text_key(column).alias("_key")).agg(F.min(order).alias(order))
+    return df.join(firsts.select(order), order, "left_semi").select(*df.columns)
 
 
 def prepare(df: DataFrame, column: str, order: str, length: int | None = None) -> DataFrame:
@@ -41,10 +38,12 @@ def later_copies(df: DataFrame, column: str, order: str) -> DataFrame:
 
 def keep_unrepeated(df: DataFrame, column: str, order: str) -> DataFrame:
     """Rows whose text occurs once and is not empty."""
-    groups = df.groupBy(text_key(column).alias("_key")).agg(
-        F.count("*").alias("_copies"), F.min_by(F.struct(*df.columns), F.col(order)).alias("_row")
+    single = (
+        df.groupBy(text_key(column).alias("_key"))
+        .agg(F.count("*").alias("_copies"), F.min(order).alias(order))
+        .filter("_copies = 1")
     )
-    return rows.drop_blank(groups.filter("_copies = 1").select("_row.*"), column)
+    return rows.drop_blank(df.join(single.select(order), order, "left_semi").select(*df.columns), column)
 
 
 def repeated_ids(df: DataFrame, column: str, order: str) -> DataFrame:
