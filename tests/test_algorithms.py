@@ -43,6 +43,16 @@ def test_truncated_svd_matches_numpy(spark, ship_bytes):
     assert np.allclose(m @ basis, got, atol=1e-5)
 
 
+@pytest.mark.parametrize("scale", [1.0, 1e6])
+@pytest.mark.parametrize("ship_bytes", [1 << 27, 10])
+def test_truncated_svd_of_few_independent_columns(spark, ship_bytes, scale):
+    rng = np.random.default_rng(1)
+    m = rng.normal(size=(80, 4)) @ rng.normal(size=(4, 40)) * scale
+    found = linalg.truncated_svd(sparse_table(spark, m), 40, 30, ship_bytes=ship_bytes)
+    assert np.allclose(found.singular, np.linalg.svd(m, compute_uv=False)[:4], rtol=1e-6)
+    assert {len(r["vector"]) for r in found.vectors.collect()} == {4}
+
+
 def test_signs_are_balanced_and_fixed():
     a = linalg.signs(np.arange(2000), 110, 42)
     assert a.shape == (2000, 110) and set(np.unique(a)) == {-1.0, 1.0}

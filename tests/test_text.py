@@ -48,6 +48,9 @@ def test_cleaning_long_junk_is_fast_enough(spark):
 
 def test_custom_patterns_and_marks(spark):
     assert apply(spark, lambda c: text.remove_patterns(c, ["b+", "c"]), [" abbbcd  e "]) == ["a d e"]
+    # classes cover all of Unicode, in the patterns and in the white space that is collapsed
+    assert apply(spark, lambda c: text.remove_patterns(c, [r"\w+"]), ["été, x"]) == [" , "]
+    assert apply(spark, lambda c: text.remove_patterns(c, ["q"]), ["a\u00a0\u00a0b"]) == ["a b"]
     assert apply(spark, text.plain_marks, ["‘a’ “b” – — … •"]) == ["'a' \"b\" - - ... *"]
     assert apply(spark, text.nfkc, ["ﬁ…", None]) == ["fi...", None]
     assert apply(spark, text.split_hyphens, ["well-known state-of-the-art"]) == ["well known  state of the art "]

@@ -123,11 +123,14 @@ def clean(c: Column) -> Column:
 
 
 def remove_patterns(c: Column, patterns: Sequence[str]) -> Column:
-    """Strip, blank each caller pattern in list order, collapse white space."""
+    """Strip, blank each caller pattern in list order, collapse white space.
+
+    Classes such as ``\\w`` and ``\\s`` cover all of Unicode.
+    """
     c = strip(c)
     for pattern in patterns:
-        c = F.regexp_replace(c, F.lit(pattern), F.lit(" "))
-    return collapse_spaces(c)
+        c = F.regexp_replace(c, F.lit("(?U)" + pattern), F.lit(" "))
+    return F.regexp_replace(c, r"(?U)\s{2,}", " ")
 
 
 def plain_marks(c: Column) -> Column:

@@ -188,13 +188,18 @@ def _fetch(table: DataFrame, rows: int, width: int) -> np.ndarray:
     return out
 
 
+def _whitening(gram_matrix: np.ndarray) -> np.ndarray:
+    """What turns columns with this Gram matrix into orthonormal ones; directions
+    of no weight are left out."""
+    values, vectors = np.linalg.eigh((gram_matrix + gram_matrix.T) / 2)
+    kept = values > values.max() * 1e-13
+    return vectors[:, kept] / np.sqrt(values[kept])
+
+
 def _orthonormal(matrix: np.ndarray) -> np.ndarray:
-    """An orthonormal basis of the columns, by the eigenvectors of their Gram
-    matrix; directions of no weight are left out.  Done twice for accuracy."""
+    """An orthonormal basis of the columns.  Done twice for accuracy."""
     for _ in range(2):
-        values, vectors = np.linalg.eigh(matrix.T @ matrix)
-        kept = values > values.max() * 1e-13
-        matrix = matrix @ (vectors[:, kept] / np.sqrt(values[kept]))
+        matrix = matrix @ _whitening(matrix.T @ matrix)
     return matrix
 
 
@@ -301,7 +306,7 @@ def truncated_svd(
     """Leading ``k`` dimensions of the sparse rows (key, idx, val), not centred."""
     p = min(k + oversample, width)
     k = min(k, p)
-    if width * p * 4 <= ship_bytes:
+    if width * p * 8 <= ship_bytes:
         return _svd_shipped(rows, width, k, p, passes, seed)
     return _svd_joined(rows, k, p, passes, seed)
 
@@ -364,10 +369,10 @@ def _svd_joined(rows: DataFrame, k: int, p: int, passes: int, seed: int) -> Redu
         "entries",
     )
 
-    def product(left: DataFrame, vectors: DataFrame, on: str, by: str) -> DataFrame:
-        sums = [F.sum(F.col("val") * F.col("vector")[j]).alias(f"s{j}") for j in range(p)]
+    def product(left: DataFrame, vectors: DataFrame, on: str, by: str, width: int) -> DataFrame:
+        sums = [F.sum(F.col("val") * F.col("vector")[j]).alias(f"s{j}") for j in range(width)]
         out = left.join(vectors, on).groupBy(by).agg(*sums)
-        return out.select(by, F.array(*[f"s{j}" for j in range(p)]).alias("vector"))
+        return out.select(by, F.array(*[f"s{j}" for j in range(width)]).alias("vector"))
 
     def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -378,10 +383,11 @@ def _svd_joined(rows: DataFrame, k: int, p: int, passes: int, seed: int) -> Redu
     terms = entries.select("col").distinct()
     z = terms.mapInArrow(start, f"col {kind}, vector array<double>")
     for _ in range(passes):
-        y = product(entries, z, "col", "key")
-        t = store(product(entries, y, "key", "col"), "sketch")
-        root = np.linalg.cholesky(_to_matrix(gram(t, "vector", p), p) + 1e-12 * np.eye(p))
-        z = store(project(t, "col", "vector", np.linalg.inv(root).T), "basis")
-    y = store(product(entries, z, "col", "key"), "scores")
-    turn, singular = _ritz(_to_matrix(gram(y, "vector", p), p), k)
+        y = product(entries, z, "col", "key", p)
+        z = store(product(entries, y, "key", "col", p), "sketch")
+        for _ in range(2):  # as _orthonormal, on the table
+            turn = _whitening(_to_matrix(gram(z, "vector", p), p))
+            z, p = store(project(z, "col", "vector", turn), "basis"), turn.shape[1]
+    y = store(product(entries, z, "col", "key", p), "scores")
+    turn, singular = _ritz(_to_matrix(gram(y, "vector", p), p), min(k, p))
     return Reduction(project(y, "key", "vector", turn), project(z, "col", "vector", turn), singular)
