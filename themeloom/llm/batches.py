@@ -14,7 +14,7 @@ from pyspark.sql.types import StructType
 from themeloom.session import spread
 
 #: Most entries of a worker's cache of words.  Frequent words come early, so a full cache stays as it is.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 100_000
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
