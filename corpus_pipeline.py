@@ -21,13 +21,17 @@ SHINGLE_WORDS = 5
 SIMILARITY = Fraction(8, 10)
 
 
+def _with_rest(docs: DataFrame) -> DataFrame:
+    """``doc_id``, ``text`` and a struct of all columns but the text, so that no further column clashes with an operator's."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("_rest"), "doc_id", "text")
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents whose score is below ``TOXIC``; held-out rows are not learned from."""
     labels = table(spark, folder, "labels").select("doc_id", "toxic").filter(~toxicity.held_out())
     weights = toxicity.train(docs, labels)
-    whole = docs.select(F.struct("*").alias("_row"), "doc_id", "text")
-    kept = toxicity.score(whole, weights, keep=("_row",)).filter(F.col("score") < TOXIC)
-    return kept.select("_row.*").select(*docs.columns)
+    kept = toxicity.score(_with_rest(docs), weights, keep=("_rest", "text")).filter(F.col("score") < TOXIC)
+    return kept.select(*[F.col("text") if c == "text" else F.col("_rest").getField(c).alias(c) for c in docs.columns])
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -48,12 +52,12 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, folder: str) -
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Every secret replaced by a mark; ``n_chars`` follows the text."""
-    whole = docs.select(F.struct("*").alias("_row"), "doc_id", "text")
-    found = secret_scan.scan(whole, keep=("_row",)).select("_row.*", F.col("spans").alias("_spans"))
-    clean = found.withColumn("text", secret_scan.masked(F.col("text"), F.col("_spans")))
-    if "n_chars" in docs.columns:
-        clean = clean.withColumn("n_chars", F.when(F.size("_spans") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars")))
-    return clean.select(*docs.columns)
+    found = secret_scan.scan(_with_rest(docs), keep=("_rest", "text"))
+    clean = found.select("_rest", secret_scan.masked(F.col("text"), F.col("spans")).alias("text"), (F.size("spans") > 0).alias("changed"))
+    columns = {c: F.col("_rest").getField(c) for c in docs.columns if c != "text"} | {"text": F.col("text")}
+    if "n_chars" in columns:
+        columns["n_chars"] = F.when(F.col("changed"), F.length("text").cast("bigint")).otherwise(columns["n_chars"])
+    return clean.select(*[columns[c].alias(c) for c in docs.columns])
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

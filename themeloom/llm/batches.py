@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
@@ -44,10 +44,31 @@ def map_batches(df: DataFrame, function: Callable, schema: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [x.cast(f.type) if isinstance(x := found[f.name], pa.Array) else pa.array(x, f.type) for f in shape], schema=shape
             )
+            found = batch = None
+            pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 
 
+def map_texts(docs: DataFrame, function: Callable[[list[bytes]], object], added: str, doc_id: str = "doc_id", text: str = "text",
+              keep: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id``, the columns ``keep`` and the column ``added`` (name and type) that ``function`` gives for a batch of texts.
+
+    The text goes to the workers once, also if it is kept.
+    """
+    names = [n for n in keep if n != text]
+    sent = docs.select(F.col(text).alias("_text"), F.col(doc_id).alias("doc_id"), *names)
+    again = [text] if text in keep else []
+    types = dict(sent.dtypes)
+    kinds = ", ".join(f"`{n}` {types[n]}" for n in ["doc_id", *names]) + "".join(f", `{n}` {types['_text']}" for n in again)
+
+    def run(batch: pa.RecordBatch) -> dict:
+        columns = {n: batch.column(i) for i, n in enumerate(["doc_id", *names], 1)} | {n: batch.column(0) for n in again}
+        return columns | {added.split()[0]: function(raw_texts(batch.column(0)))}
+
+    return map_batches(sent, run, f"{kinds}, {added}")
+
+
 def array_of_lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     """An Arrow list column of numpy arrays, without a Python object for each value."""
     offsets = np.zeros(len(parts) + 1, np.int32)

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from themeloom.llm.batches import map_batches, raw_texts
+from themeloom.llm.batches import map_texts
 
 FLAGS = re.ASCII
 #: kind: (expression, group whose length counts, least length).  Matches are taken from left to right without overlap,
@@ -177,17 +177,13 @@ def scan(docs: DataFrame, rules: dict[str, tuple[str, int, int]] | None = None,
     """``doc_id``, the columns ``keep`` and the ``spans`` (start, end, kind) of every row."""
     rules = RULES if rules is None else rules
     key = tuple(rules.items())
-    kept = docs.select(F.col(text).alias("_text"), F.col(doc_id).alias("doc_id"), *keep)
 
-    def run(batch: pa.RecordBatch) -> dict:
+    def run(texts: list[bytes]) -> list:
         if key not in _SCANNERS:
             _SCANNERS[key] = Scanner(dict(key))
-        spans = _SCANNERS[key].scan(raw_texts(batch.column(0)))
-        as_rows = [[{"start": a, "end": b, "kind": k} for a, b, k in s] for s in spans]
-        return {n: batch.column(i) for i, n in enumerate(batch.schema.names) if i} | {"spans": as_rows}
+        return [[{"start": a, "end": b, "kind": k} for a, b, k in s] for s in _SCANNERS[key].scan(texts)]
 
-    kinds = ", ".join(f"`{n}` {t}" for n, t in kept.dtypes[1:])
-    return map_batches(kept, run, f"{kinds}, spans {SPAN}")
+    return map_texts(docs, run, f"spans {SPAN}", doc_id, text, keep)
 
 
 def shown(spans: Column) -> Column:

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from themeloom.llm.batches import WORDS, array_of_lists, chained, map_batches, raw_texts
+from themeloom.llm.batches import WORDS, array_of_lists, chained, map_batches, map_texts, raw_texts
 
 BITS = 20
 MAX_TRAIN = 16_000
@@ -100,16 +100,13 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, epochs
 def score(docs: DataFrame, weights: np.ndarray, keep: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id``, the columns ``keep`` and the ``score`` of every row."""
     sent = docs.sparkSession.sparkContext.broadcast(weights)  # 4 MB: 2**BITS places
-    kept = docs.select(F.col("text").alias("_text"), "doc_id", *keep)
 
-    def run(batch: pa.RecordBatch) -> dict:
+    def run(texts: list[bytes]) -> np.ndarray:
         w = sent.value
-        sums = np.array([float(w[features(raw)].sum(dtype=np.float64)) for raw in raw_texts(batch.column(0))]) + float(w[0])
-        values = 1 / (1 + np.exp(-np.clip(sums, -35, 35)))
-        return {n: batch.column(i) for i, n in enumerate(batch.schema.names) if i} | {"score": values}
+        sums = np.array([float(w[features(raw)].sum(dtype=np.float64)) for raw in texts]) + float(w[0])
+        return 1 / (1 + np.exp(-np.clip(sums, -35, 35)))
 
-    kinds = ", ".join(f"`{n}` {t}" for n, t in kept.dtypes[1:])
-    return map_batches(kept, run, f"{kinds}, score double")
+    return map_texts(docs, run, "score double", keep=keep)
 
 
 def held_out(doc_id: str = "doc_id"):
