@@ -3,9 +3,9 @@
 import numpy as np
 import pytest
 
-from themeloom.operators import display
+from themeloom.operators import describe, display, pii, topics
 from themeloom.operators.neighbors import best_items
-from themeloom.plans import extract
+from themeloom.plans import clean, extract
 from themeloom.sources import readers
 
 
@@ -43,3 +43,34 @@ def test_documents_without_tokens_stay(spark):
     assert sorted(got) == list(range(20))
     assert got[18]["topic"] == -1 and got[18]["probability"] == 0.0
     assert extract.result_tables(model, df, "text")["document_info"].count() == 20
+
+
+def test_word_pairs_and_outliers_have_words(spark):
+    words = spark.createDataFrame(
+        [(t, r, w) for t in (-1, 0) for r, w in enumerate(["red", "red apple", "blue", "unknown pair"], 1)], "topic int, rank int, word string"
+    )
+    terms = spark.createDataFrame([("red", [1.0, 0.0]), ("apple", [0.0, 1.0]), ("blue", [-1.0, 0.0])], "term string, vector array<double>")
+    points = spark.createDataFrame([(1, [1.0, 1.0]), (2, [2.0, 0.0])], "doc_id long, vector array<double>")
+    own = spark.createDataFrame([(1, -1), (2, 0)], "doc_id long, topic int")
+    picked = describe.diverse_words(words, terms, topics.topic_vectors(points, own, outliers=True), n=4, diversity=0.0).collect()
+    assert {t: [r["word"] for r in sorted(picked, key=lambda r: r["rank"]) if r["topic"] == t] for t in (-1, 0)} == {
+        -1: ["red apple", "red", "unknown pair", "blue"], 0: ["red", "red apple", "unknown pair", "blue"]
+    }
+    near = describe.keyword_similarity(words, terms, points, own).collect()
+    scores = {(r["topic"], r["word"]): round(r["score"], 6) for r in near}
+    assert len(scores) == 8 and scores[-1, "red apple"] == 1.0 and scores[-1, "red"] == round(0.5**0.5, 6) and scores[0, "unknown pair"] == 0.0
+    bare = describe.diverse_words(words, terms.limit(0), topics.topic_vectors(points.limit(0), own), n=2).collect()
+    assert len(bare) == 4
+
+
+def test_names_are_rewritten_with_the_patterns(spark):
+    rows = [(1, "Anna wrote to anna@x.org about Berlin"), (2, "No one here"), (3, None), (4, "Anna Anna")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    names = spark.createDataFrame([("Anna", "PERSON"), ("Berlin", "LOCATION")], "name string, entity string")
+    out = lambda strategy, **k: [r["text"] for r in pii.anonymise(df, ["text"], strategy, names=names, **k).orderBy("doc_id").collect()]
+    assert out("replace") == ["<PERSON> wrote to <EMAIL_ADDRESS> about <LOCATION>", "No one here", None, "<PERSON> <PERSON>"]
+    fake = out("fake_first_name")
+    assert fake[0].split()[0] in pii.FAKE_NAMES and fake[3].split() == [fake[0].split()[0]] * 2
+    assert "Anna" not in out("encrypt", key=b"k" * 16)[3]
+    cleaned = clean.clean_table(df, "text", ["doc_id"], clean=False, deduplicate=False, anonymise=True, names=names)
+    assert {r["doc_id"]: r["text"] for r in cleaned.collect()}[4] == " "

@@ -192,7 +192,7 @@ def _with_terms(spark, folder):
 @query("R14_diverse_words")
 def _(spark, folder):
     docs, weights, _, points, terms = _with_terms(spark, folder)
-    return describe.diverse_words(describe.top_words(weights, 30), terms, topics.topic_vectors(points, docs))
+    return describe.diverse_words(describe.top_words(weights, 30), terms, topics.topic_vectors(points, docs, outliers=True))
 
 
 @query("R15_keyword_similarity")

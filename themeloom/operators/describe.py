@@ -215,24 +215,40 @@ def parent_info(info: DataFrame, position: str = "sentence_pos") -> DataFrame:
     )
 
 
+def phrase_vectors(words: DataFrame, term_vectors: DataFrame) -> DataFrame:
+    """(word, vector) of the distinct ``words``: the mean of the vectors of a phrase's words; none without a known word."""
+    parts = words.select("word").distinct().select("word", F.explode(F.split("word", " ")).alias("term"))
+    means = (
+        parts.join(term_vectors.select("term", "vector"), "term")
+        .select("word", F.posexplode("vector").alias("pos", "x"))
+        .groupBy("word", "pos").agg(F.avg(F.col("x").cast("double")).alias("mean"))
+    )
+    return means.groupBy("word").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("pos", "mean"))), lambda s: s["mean"]).alias("vector")
+    )
+
+
 def diverse_words(words: DataFrame, term_vectors: DataFrame, centres: DataFrame, n: int = params.WORDS_PER_TOPIC,
                   diversity: float = params.MMR_DIVERSITY, considered: int = params.MMR_CANDIDATES) -> DataFrame:
     """Topic words picked for closeness to the topic and distance to each other.
 
     The ``considered`` best words of each topic are candidates, so
-    each group is small; the pick is a small numpy loop per topic.
+    each group is small; the pick is a small numpy loop per topic.  A word or
+    topic without a vector counts as a zero vector.
     """
+    best = words.filter(F.col("rank") <= considered)
     candidates = (
-        words.filter(F.col("rank") <= considered)
-        .join(term_vectors.select(F.col("term").alias("word"), "vector"), "word")
-        .join(centres.select("topic", F.col("vector").alias("centre")), "topic")
+        best.join(phrase_vectors(best, term_vectors), "word", "left")
+        .join(centres.select("topic", F.col("vector").alias("centre")), "topic", "left")
     )
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rank")
-        v = np.stack(pdf["vector"]).astype(float)
+        known = [x for x in [*pdf["vector"], pdf["centre"].iloc[0]] if x is not None]
+        zero = np.zeros(len(known[0]) if known else 1)
+        v = np.stack([zero if x is None else x for x in pdf["vector"]]).astype(float)
         v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-        c = np.asarray(pdf["centre"].iloc[0], dtype=float)
+        c = np.asarray(zero if pdf["centre"].iloc[0] is None else pdf["centre"].iloc[0], dtype=float)
         to_topic = v @ (c / max(np.linalg.norm(c), 1e-12))
         to_each = v @ v.T
         taken = [int(np.argmax(to_topic))]
@@ -252,15 +268,15 @@ def diverse_words(words: DataFrame, term_vectors: DataFrame, centres: DataFrame,
 def keyword_similarity(words: DataFrame, term_vectors: DataFrame, vectors: DataFrame, representatives: DataFrame,
                        n: int = params.WORDS_PER_TOPIC) -> DataFrame:
     """Topic words ranked by the cosine of their vector with the mean vector of
-    the topic's representative documents."""
+    the topic's representative documents; 0 without a vector."""
     from themeloom.operators.topics import topic_vectors
 
-    centres = topic_vectors(vectors, representatives.select("doc_id", "topic"))
+    centres = topic_vectors(vectors, representatives.select("doc_id", "topic"), outliers=True)
     near = arrays.cosine(F.col("vector"), F.col("centre"))
     scored = (
-        words.join(term_vectors.select(F.col("term").alias("word"), "vector"), "word")
-        .join(centres.select("topic", F.col("vector").alias("centre")), "topic")
-        .select("topic", F.col("word").alias("term"), near.alias("weight"))
+        words.join(phrase_vectors(words, term_vectors), "word", "left")
+        .join(centres.select("topic", F.col("vector").alias("centre")), "topic", "left")
+        .select("topic", F.col("word").alias("term"), F.coalesce(near, F.lit(0.0)).alias("weight"))
     )
     return top_words(scored, n, aspect="KeyBERT")
 

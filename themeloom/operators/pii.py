@@ -182,10 +182,19 @@ def rewrite(text: Column, found: Column, strategy: str, key: bytes | None = None
 
 
 def anonymise(df: DataFrame, columns: Sequence[str], strategy: str = "redact", key: bytes | None = None,
-              entities: Sequence[str] | None = None, seed: int = 0) -> DataFrame:
-    """The chosen columns with pattern entities rewritten; column order stays."""
+              entities: Sequence[str] | None = None, seed: int = 0, names: DataFrame | None = None,
+              doc: str = "doc_id") -> DataFrame:
+    """The chosen columns with pattern entities rewritten; column order stays.
+
+    With ``names`` (name, entity) capitalised words on that list are rewritten too; ``doc`` then is a unique id.
+    """
     for name in columns:
-        marked = df.withColumn("_spans", resolve(spans(F.col(name), entities)))
+        found = spans(F.col(name), entities)
+        if names is not None:
+            listed = name_spans(df, name, names, doc).select(F.col(doc).alias("_doc"), F.col("spans").alias("_listed"))
+            df_listed = df.join(listed, F.col(doc) == F.col("_doc"), "left")
+            found = F.concat(found, F.coalesce("_listed", F.array().cast(SPANS)))
+        marked = (df if names is None else df_listed).withColumn("_spans", resolve(found))
         df = marked.withColumn(name, rewrite(F.col(name), F.col("_spans"), strategy, key, seed)).select(*df.columns)
     return df
 

@@ -19,9 +19,9 @@ from themeloom.operators.rows import number_rows
 from themeloom.session import store
 
 
-def topic_vectors(vectors: DataFrame, assignments: DataFrame) -> DataFrame:
-    """Mean vector of each topic, outliers apart; summed on the map side."""
-    members = assignments.filter(F.col("topic") != params.OUTLIER).select("doc_id", "topic")
+def topic_vectors(vectors: DataFrame, assignments: DataFrame, outliers: bool = False) -> DataFrame:
+    """Mean vector of each topic, of the outliers only if asked for; summed on the map side."""
+    members = assignments.select("doc_id", "topic") if outliers else assignments.filter(F.col("topic") != params.OUTLIER).select("doc_id", "topic")
     means = (
         vectors.select("doc_id", "vector")
         .join(members, "doc_id")

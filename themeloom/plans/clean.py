@@ -19,12 +19,13 @@ def clean_table(
     patterns: Sequence[str] = (),
     deduplicate: bool = True,
     anonymise: bool = False,
+    names: DataFrame | None = None,
     split: bool = False,
     min_sentence_length: int = params.MIN_SENTENCE_LENGTH,
     plain_marks: bool = False,
 ) -> DataFrame:
     """Row id, cleaning, caller patterns, de-duplication, redaction and sentence
-    split, each as asked for.  ``order`` fixes the row numbers."""
+    split, each as asked for.  ``order`` fixes the row numbers; ``names`` (name, entity) are redacted with the patterns."""
     df = rows.add_row_id(df, order)
     value = F.col(column)
     if plain_marks:
@@ -37,7 +38,7 @@ def clean_table(
     if deduplicate:
         df = dedup.prepare(df, column, "original_index")
     if anonymise:
-        df = pii.anonymise(df, [column], "redact")
+        df = pii.anonymise(df, [column], "redact", names=names, doc="original_index")
     if deduplicate or split:
         df = rows.renumber(df)
     if split:

@@ -29,7 +29,8 @@ def relabel(model: TopicModel, df: DataFrame, column: str, aspect: str, term_vec
         return replace(model, labels=store(describe.generated_labels(prompts, generate), "labels"))
     if aspect == "MMR":
         wide = describe.top_words(model.weights, 30)
-        words = describe.diverse_words(wide, term_vectors, model.centres)
+        centres = topics.topic_vectors(model.vectors, model.assignments, outliers=True)
+        words = describe.diverse_words(wide, term_vectors, centres)
     elif aspect == "KeyBERT":
         wide = describe.top_words(model.weights, 30)
         words = describe.keyword_similarity(wide, term_vectors, model.vectors, model.representatives)
