@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from themeloom import params
 
 _GROUP_ROWS = 20_000  # rows of one side in one blocked group
-_QUERY_ROWS = 1_000   # query rows compared at once inside a task
+_SCORES = 4_000_000    # scores held at once inside a task, if there are fewer items than that
 
 
 def _similarity(queries: np.ndarray, items: np.ndarray, metric: str) -> np.ndarray:
@@ -40,9 +40,10 @@ def best_items(scores: np.ndarray, k: int) -> np.ndarray:
 
 def _search(query_ids, queries, item_ids, items, k, metric, skip_self, soft=None) -> pd.DataFrame:
     out = []
-    for start in range(0, len(query_ids), _QUERY_ROWS):
-        ids = query_ids[start : start + _QUERY_ROWS]
-        scores = _similarity(queries[start : start + _QUERY_ROWS], items, metric)
+    together = max(1, min(1_000, _SCORES // max(1, len(items))))
+    for start in range(0, len(query_ids), together):
+        ids = query_ids[start : start + together]
+        scores = _similarity(queries[start : start + together], items, metric)
         if skip_self:
             scores[ids[:, None] == item_ids[None, :]] = -np.inf
         best = best_items(scores, k)

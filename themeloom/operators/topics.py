@@ -136,8 +136,8 @@ def _cell_side(vectors: DataFrame, limit: int) -> tuple[float, float | None]:
     return low, sides[-1]
 
 
-def micro_clusters(vectors: DataFrame, limit: int = params.MICRO_LIMIT) -> tuple[DataFrame, DataFrame]:
-    """(micro, vector, weight) and (doc_id, micro).
+def micro_clusters(vectors: DataFrame, limit: int = params.MICRO_LIMIT) -> tuple[DataFrame, DataFrame, float]:
+    """(micro, vector, weight), (doc_id, micro) and the side of a cell (0 for the vectors themselves).
 
     Up to ``limit`` distinct vectors, each is its own micro cluster.  Beyond
     that, vectors share a grid cell; a cell keeps the mean and the count of all
@@ -155,7 +155,7 @@ def micro_clusters(vectors: DataFrame, limit: int = params.MICRO_LIMIT) -> tuple
     else:
         centres = topic_vectors(members, members.select("doc_id", F.col("micro").alias("topic")))
         table = centres.withColumnRenamed("topic", "micro").join(groups.select("micro", "weight"), "micro")
-    return store(table, "micro"), members.select("doc_id", "micro")
+    return store(table, "micro"), members.select("doc_id", "micro"), step or 0.0
 
 
 def reach_edges(micro: DataFrame, min_docs: int, neighbours: int = params.NEIGHBOURS) -> tuple[DataFrame, DataFrame]:
@@ -201,20 +201,31 @@ def density_clusters(
     min_docs: int = params.MIN_DOCS_PER_TOPIC,
     neighbours: int = params.NEIGHBOURS,
     cut: float | None = None,
-    cut_quantile: float = 0.8,
+    cut_quantile: float | None = None,
     micro_limit: int = params.MICRO_LIMIT,
 ) -> DataFrame:
     """(doc_id, topic): dense groups numbered by size; the rest is -1.
 
-    Points are linked when their mutual reachability is at most ``cut`` (by
-    default a quantile of the finite core distances), linked groups with fewer
-    than ``min_docs`` documents become outliers.
+    Points are linked when their mutual reachability is at most ``cut``, linked
+    groups with fewer than ``min_docs`` documents become outliers.  The default
+    cut is the upper fence of the finite core distances, Q3 + 1.5 (Q3 - Q1), so
+    that clean data have few outliers; a vector counts once for each of its copies,
+    ``min_docs`` times at most.  With ``cut_quantile``, and where copies make the
+    fence 0 (then 0.8), it is that quantile over distinct vectors.  The cut is never
+    below the diagonal of a grid cell, so that full cells side by side stay together.
     """
-    micro, members = micro_clusters(vectors, micro_limit)
+    micro, members, side = micro_clusters(vectors, micro_limit)
     core, edges = reach_edges(micro, min_docs, neighbours)
     if cut is None:
         finite = core.filter(F.col("core") < float("inf"))
-        cut = finite.agg(F.percentile("core", F.lit(cut_quantile))).first()[0] or 0.0
+        if cut_quantile is None:
+            count = F.least("weight", F.lit(min_docs))
+            known = finite.join(micro.select(F.col("micro").alias("id"), "weight"), "id")
+            low, high = known.agg(F.percentile("core", F.array(F.lit(0.25), F.lit(0.75)), count)).first()[0] or (0.0, 0.0)
+            cut = high + 1.5 * (high - low)
+        if not cut:
+            cut = finite.agg(F.percentile("core", F.lit(cut_quantile or 0.8))).first()[0] or 0.0
+        cut = max(cut, side * len((micro.first() or {"vector": []})["vector"]) ** 0.5)
     linked = edges.filter(F.col("reach") <= cut).select("a", "b")
     groups = connected_components(micro.select(F.col("micro").alias("id")), linked)
     sizes = (
