@@ -351,6 +351,27 @@ def test_pseudo_likelihood_beats_word_counts(spark):
     assert pseudo_lm.pseudo_likelihood(empty(spark)).count() == 0
 
 
+def test_every_word_has_its_own_probability(spark):
+    rng = random.Random(12)
+    counts = Counter({f"often{k}": 110 + k % 7 for k in range(1_500)} | {f"some{k}": 20 for k in range(300)} | {f"once{k}": 1 for k in range(2_000)})
+    words = list(counts.elements())
+    rng.shuffle(words)
+    texts = [" ".join(words[k: k + 500]) for k in range(0, len(words), 500)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    vocabulary, stored = pseudo_lm.learn_vocabulary(df)
+    assert vocabulary.frequent == 1_500 and vocabulary.classes * vocabulary.per_class >= 2_000
+    net = vocabulary.network()
+    net.flat[:] = 0  # no context: each word must have its share of the corpus
+    net.start_from(vocabulary.shares)
+    every = sorted(counts)
+    got = pseudo_lm.score(spark.createDataFrame(list(enumerate(every)), "doc_id long, text string"), vocabulary, stored, net).collect()
+    chance = {every[r.doc_id]: np.exp(r.log_likelihood) for r in got}
+    assert len(chance) == len(every) and 0.97 < sum(chance.values()) <= 1
+    assert all(abs(chance[w] * len(words) / n - 1) < 0.25 for w, n in counts.items())
+    unseen = pseudo_lm.score(spark.createDataFrame([(1, "never"), (2, "once1")], "doc_id long, text string"), vocabulary, stored, net).collect()
+    assert {r.doc_id: r.log_likelihood for r in unseen}[1] < np.log(1 / len(words))
+
+
 def test_network_is_a_distribution_and_its_gradient_is_right():
     net = pseudo_lm.WindowNetwork(classes=3, per_class=2, width=4, reach=1)
     net.flat[:] = np.random.default_rng(1).normal(0, 0.5, len(net.flat))

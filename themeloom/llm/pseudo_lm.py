@@ -4,14 +4,18 @@ Every token is predicted from ``REACH`` tokens on either side, never from itself
 table of token vectors; their sum goes through tanh, and two softmax layers give the token: first its class, then the
 token within the class.  A document's score is the sum of the log-probabilities of all its tokens.
 
-Tokens: words of all documents are counted; the most frequent have a token each, every other word falls in one of the
-``HASHED`` tokens by its hash.  A token's class holds tokens of similar frequency.  The output biases start from these counts.
+Tokens: words of all documents are counted; every word with ``LEAST`` occurrences (and the ``FREQUENT`` most frequent in
+any case) has a token of its own, every other word falls in a bucket by its hash, one bucket for three words with a token.
+So words, buckets and classes follow the corpus.  The probability of a word in a bucket is the bucket's times the word's
+share of the bucket's occurrences; the shares come from the stored counts, by a join.  A token's class holds tokens of
+similar frequency, and there are about as many classes as tokens in a class.  The output biases start from the counts.
 
 Training runs in ``ROUNDS``.  In a round, each task trains its own copy by Adagrad on its part of the documents (a
 round's share is chosen by a hash of the id), on windows at every ``STRIDE``-th place of every document, and sends back
 its parameters; their mean, weighted by windows, starts the next round.  The mean is taken block by block in Spark
-(first over few tasks, then over these), so the driver only sees one model of fixed size.  What is gathered
-grows with the number of tasks, hence with the input.
+(first over few tasks, then over these), so the driver only sees one model, 120 numbers for each token.  There is one task
+for each core, as each sends a whole model; the model is not split, every task holds it.  What is gathered grows with the
+tokens and with the words in buckets, hence with the input.
 
 Words end at ASCII white space, A-Z are lower-cased.  Null and empty texts have no tokens and score 0.  A null id is
 scored; repeated rows are scored each.  An empty table gives no rows, other columns are not read.
@@ -19,6 +23,7 @@ scored; repeated rows are scored each.  An empty table gives no rows, other colu
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,12 +31,12 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from themeloom.llm.batches import WORDS, map_batches, raw_texts
+from themeloom.llm.batches import WORDS, array_of_lists, map_batches, raw_texts
 from themeloom.session import store
 
-CLASSES = 32
-PER_CLASS = 32
-HASHED = 256
+LEAST = 100
+FREQUENT = 768
+WORDS_A_BUCKET = 3
 REACH = 2
 WIDTH = 24
 STRIDE = 8
@@ -43,6 +48,8 @@ TOKENS_AT_ONCE = 32_768
 BLOCK = 8_192
 TREE = 16
 SEED = 11
+#: What the words that were not counted have of each bucket's occurrences.
+UNSEEN = 0.5
 
 
 def token_hashes(text: bytes) -> np.ndarray:
@@ -50,26 +57,39 @@ def token_hashes(text: bytes) -> np.ndarray:
 
 
 class Vocabulary:
-    """Token numbers of word hashes: frequent words first, in the order of their counts."""
-
-    def __init__(self, frequent: np.ndarray, counts: np.ndarray, total: int, hashed: int = HASHED, size: int = CLASSES * PER_CLASS):
-        """``frequent``: hashes of the words that have a token, the most frequent first, and their ``counts`` of ``total``."""
-        self.shares = np.full(size, 0.5 / (total + size))
-        self.shares[: len(frequent)] += counts / (total + size)
-        self.shares[len(frequent): len(frequent) + hashed] += max(0, total - counts.sum()) / hashed / (total + size)
+    """Token numbers of word hashes: frequent words first, in the order of their counts, then the buckets."""
+
+    def __init__(self, frequent: np.ndarray, counts: np.ndarray, totals: np.ndarray):
+        """``frequent``: hashes of the words that have a token, the most frequent first, and their ``counts``; ``totals``:
+        occurrences of the other words in each bucket."""
+        self.frequent, self.hashed = len(frequent), len(totals)
+        self.classes = math.ceil(math.sqrt(self.frequent + self.hashed))
+        self.per_class = -(-(self.frequent + self.hashed) // self.classes)
+        size, every = self.classes * self.per_class, np.concatenate([counts, totals])
+        self.shares = np.full(size, 0.5)
+        self.shares[: len(every)] += every
+        self.shares /= self.shares.sum()
+        self.log_totals = np.log(totals + UNSEEN)
         self.order = np.argsort(frequent)
-        self.sorted, self.frequent, self.hashed = frequent[self.order], len(frequent), hashed
+        self.sorted = frequent[self.order]
+
+    def network(self, flat: np.ndarray | None = None) -> WindowNetwork:
+        return WindowNetwork(flat, self.classes, self.per_class)
 
     def tokens(self, hashes: np.ndarray) -> np.ndarray:
-        other = self.frequent + (hashes >> np.uint64(40)).astype(np.int64) % self.hashed
+        other = self.frequent + bucket_of(hashes, self.hashed)
         if not self.frequent:
             return other
         at = np.minimum(np.searchsorted(self.sorted, hashes), self.frequent - 1)
         return np.where(self.sorted[at] == hashes, self.order[at], other)
 
 
-def learn_vocabulary(docs: DataFrame, size: int = CLASSES * PER_CLASS, hashed: int = HASHED) -> Vocabulary:
-    """Counts the words of all texts; ``size`` tokens in all."""
+def bucket_of(hashes: np.ndarray, hashed: int) -> np.ndarray:
+    return (hashes >> np.uint64(40)).astype(np.int64) % hashed
+
+
+def learn_vocabulary(docs: DataFrame, least: int = LEAST, at_least: int = FREQUENT) -> tuple[Vocabulary, DataFrame]:
+    """Counts the words of all texts; also returns the stored counts (hash, n)."""
 
     def count(batch: pa.RecordBatch) -> dict:
         found = [token_hashes(raw) for raw in raw_texts(batch.column(0))]
@@ -78,9 +98,18 @@ def learn_vocabulary(docs: DataFrame, size: int = CLASSES * PER_CLASS, hashed: i
 
     counts = map_batches(docs.select("text"), count, "hash bigint, n bigint").groupBy("hash").agg(F.sum("n").alias("n"))
     counts = store(counts, "words")
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    top = counts.orderBy(F.desc("n"), "hash").limit(size - hashed).toArrow()  # a fixed number of rows
-    return Vocabulary(top["hash"].to_numpy().view(np.uint64), top["n"].to_numpy(), total, hashed, size)
+    top = counts.filter(F.col("n") >= least).toArrow()
+    if top.num_rows < at_least:
+        top = counts.orderBy(F.desc("n"), "hash").limit(at_least).toArrow()
+    frequent, n = top["hash"].to_numpy(), top["n"].to_numpy()
+    order = np.lexsort((frequent, -n))
+    frequent, n = frequent[order].view(np.uint64), n[order]
+    hashed = -(-max(len(frequent), at_least) // WORDS_A_BUCKET)
+    sums = counts.groupBy((F.shiftrightunsigned("hash", 40) % hashed).alias("bucket")).agg(F.sum("n").alias("n")).toArrow()
+    totals = np.zeros(hashed)
+    totals[sums["bucket"].to_numpy()] = sums["n"].to_numpy()
+    totals -= np.bincount(bucket_of(frequent, hashed), n, hashed)
+    return Vocabulary(frequent, n, totals), counts
 
 
 def _log_softmax(x: np.ndarray) -> np.ndarray:
@@ -92,7 +121,7 @@ def _log_softmax(x: np.ndarray) -> np.ndarray:
 class WindowNetwork:
     """Parameters in one flat float32 array, so that they can be sent and averaged in blocks."""
 
-    def __init__(self, flat: np.ndarray | None = None, classes: int = CLASSES, per_class: int = PER_CLASS, width: int = WIDTH, reach: int = REACH):
+    def __init__(self, flat: np.ndarray | None = None, classes: int = 32, per_class: int = 32, width: int = WIDTH, reach: int = REACH):
         self.classes, self.per_class, self.width, self.reach = classes, per_class, width, reach
         tokens, places = classes * per_class, 2 * reach
         shapes = {
@@ -182,35 +211,36 @@ class Trainer:
             self._step("near", (place, found), np.add.reduceat(back[order], first, axis=0))
 
 
-def _joined(texts: list[bytes], vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens of all texts one after the other, and where each starts (and the last ends)."""
+def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of all texts one after the other, and where each starts (and the last ends)."""
     hashes = [token_hashes(raw) for raw in texts]
     starts = np.zeros(len(texts) + 1, np.int64)
     np.cumsum([len(h) for h in hashes], out=starts[1:])
-    return vocabulary.tokens(np.concatenate(hashes or [np.zeros(0, np.uint64)])), starts
+    return np.concatenate(hashes or [np.zeros(0, np.uint64)]), starts
 
 
 def train_network(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS, stride: int = STRIDE) -> WindowNetwork:
-    net = WindowNetwork()
+    net = vocabulary.network()
     net.start_from(vocabulary.shares)
     for turn in range(rounds):
-        net = WindowNetwork(_train_round(docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == turn), vocabulary, net.flat, stride))
+        net = vocabulary.network(_train_round(docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == turn), vocabulary, net.flat, stride))
     return net
 
 
 def _train_round(docs: DataFrame, vocabulary: Vocabulary, flat: np.ndarray, stride: int) -> np.ndarray:
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast((vocabulary, flat))  # fixed size: the tokens and one model
+    sent = spark.sparkContext.broadcast((vocabulary, flat))
     blocks = -(-len(flat) // BLOCK)
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, start = sent.value
-        net = WindowNetwork(start.copy())
+        net = words.network(start.copy())
         trainer, windows = Trainer(net), 0
         for batch in batches:
             texts = raw_texts(batch.column(0))
             for some in range(0, len(texts), 256):
-                tokens, starts = _joined(texts[some: some + 256], words)
+                hashes, starts = _joined(texts[some: some + 256])
+                tokens = words.tokens(hashes)
                 at = np.arange(stride // 2, len(tokens), stride)
                 if len(tokens) and not len(at):
                     at = np.array([0])
@@ -239,39 +269,52 @@ def _train_round(docs: DataFrame, vocabulary: Vocabulary, flat: np.ndarray, stri
             "values": pa.array([average], pa.list_(pa.float32())),
         })
 
-    local = docs.select("text").mapInArrow(train, shape)
+    local = docs.select("text").coalesce(spark.sparkContext.defaultParallelism).mapInArrow(train, shape)
     few = local.groupBy("block", F.floor(F.col("task") / TREE)).applyInArrow(lambda key, group: mean(group), shape)
-    final = few.groupBy("block").applyInArrow(lambda key, group: mean(group), shape).select("block", "values").collect()
-    if not final:
+    final = few.groupBy("block").applyInArrow(lambda key, group: mean(group), shape).select("block", "values").toArrow()
+    if not final.num_rows:
         return flat
-    return np.concatenate([np.array(r["values"], np.float32) for r in sorted(final, key=lambda r: r["block"])])
+    return final.sort_by("block")["values"].combine_chunks().flatten().to_numpy(zero_copy_only=False).copy()
 
 
-def score(docs: DataFrame, vocabulary: Vocabulary, net: WindowNetwork) -> DataFrame:
+def score(docs: DataFrame, vocabulary: Vocabulary, counts: DataFrame, net: WindowNetwork) -> DataFrame:
     """``doc_id, n_tokens, log_likelihood`` of every row."""
     sent = docs.sparkSession.sparkContext.broadcast((vocabulary, net.flat))
 
     def run(batch: pa.RecordBatch) -> dict:
         words, flat = sent.value
-        model, texts = WindowNetwork(flat), raw_texts(batch.column(1))
-        counts, sums = [], []
+        model, texts = words.network(flat), raw_texts(batch.column(2))
+        sizes, sums, rare = [], [], []
         for some in range(0, len(texts), 128):
-            tokens, starts = _joined(texts[some: some + 128], words)
+            hashes, starts = _joined(texts[some: some + 128])
+            tokens = words.tokens(hashes)
             logs = np.zeros(len(tokens))
             for k in range(0, len(tokens), TOKENS_AT_ONCE):
                 at = np.arange(k, min(k + TOKENS_AT_ONCE, len(tokens)))
                 logs[at] = model.log_probabilities(model.contexts(tokens, starts, at), tokens[at])
+            other = tokens >= words.frequent
+            logs[other] -= words.log_totals[tokens[other] - words.frequent]
             total = np.concatenate([[0.0], np.cumsum(logs)])
-            counts += np.diff(starts).tolist()
+            sizes += np.diff(starts).tolist()
             sums += (total[starts[1:]] - total[starts[:-1]]).tolist()
-        return {"doc_id": batch.column(0), "n_tokens": counts, "log_likelihood": sums}
+            rare += [hashes[a:b][other[a:b]].view(np.int64) for a, b in zip(starts[:-1], starts[1:])]
+        return {
+            "doc_id": batch.column(0), "row": batch.column(1), "n_tokens": sizes, "log_likelihood": sums,
+            "rare": array_of_lists(rare, pa.int64()),
+        }
 
-    kept = docs.select("doc_id", "text")
-    return map_batches(kept, run, f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, n_tokens bigint, log_likelihood double")
+    kept = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), "text")
+    kind = kept.schema["doc_id"].dataType.simpleString()
+    rows = store(map_batches(kept, run, f"doc_id {kind}, row bigint, n_tokens bigint, log_likelihood double, rare array<bigint>"), "scored")
+    # A word's share of its bucket: the total is taken off above, the count is joined here.
+    own = F.log(F.coalesce("n", F.lit(UNSEEN)))
+    more = rows.select("row", F.explode("rare").alias("hash")).join(counts, "hash", "left").groupBy("row").agg(F.sum(own).alias("more"))
+    both = F.col("log_likelihood") + F.coalesce("more", F.lit(0.0))
+    return rows.join(more, "row", "left").select("doc_id", "n_tokens", both.alias("log_likelihood"))
 
 
 def pseudo_likelihood(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Trains on ``docs`` and scores them."""
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    vocabulary = learn_vocabulary(docs)
-    return score(docs, vocabulary, train_network(docs, vocabulary))
+    vocabulary, counts = learn_vocabulary(docs)
+    return score(docs, vocabulary, counts, train_network(docs, vocabulary))
