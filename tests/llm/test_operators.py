@@ -1,6 +1,7 @@
 """Each operator against brute force on hand-made rows: nulls, empty and long texts, ties, repeats, odd columns."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -372,6 +373,26 @@ def test_every_word_has_its_own_probability(spark):
     assert {r.doc_id: r.log_likelihood for r in unseen}[1] < np.log(1 / len(words))
 
 
+def test_every_place_is_a_target(spark, monkeypatch, tmp_path):
+    rng = random.Random(13)
+    texts = [" ".join(f"p{rng.randint(0, 30)}" for _ in range(rng.choice([1, 2, 3, 7, 40]))) for _ in range(60)]
+    df = spark.createDataFrame([*enumerate(texts), (None, "p1 p2")], "doc_id long, text string").repartition(3)
+    vocabulary, _ = pseudo_lm.learn_vocabulary(df)
+    folder, learn = str(tmp_path), pseudo_lm.Trainer.learn
+
+    class Noting(pseudo_lm.Trainer):
+        def learn(self, context, target):
+            learn(self, context, target)
+            with open(f"{folder}/{os.getpid()}", "a") as out:
+                out.writelines(f"{t}\n" for t in target.tolist())
+
+    monkeypatch.setattr(pseudo_lm, "Trainer", Noting)
+    pseudo_lm.train_network(df, vocabulary)
+    seen = Counter(int(t) for p in tmp_path.iterdir() for t in p.read_text().split())
+    words = [w.encode() for t in [*texts, "p1 p2"] for w in t.split()]
+    assert seen == Counter(vocabulary.tokens(pseudo_lm.WORDS.of(words)).tolist())
+
+
 def test_network_is_a_distribution_and_its_gradient_is_right():
     net = pseudo_lm.WindowNetwork(classes=3, per_class=2, width=4, reach=1)
     net.flat[:] = np.random.default_rng(1).normal(0, 0.5, len(net.flat))

@@ -11,8 +11,8 @@ share of the bucket's occurrences; the shares come from the stored counts, by a
 similar frequency, and there are about as many classes as tokens in a class.  The output biases start from the counts.
 
 Training runs in ``ROUNDS``.  In a round, each task trains its own copy by Adagrad on its part of the documents (a
-round's share is chosen by a hash of the id), on windows at every ``STRIDE``-th place of every document, and sends back
-its parameters; their mean, weighted by windows, starts the next round.  The mean is taken block by block in Spark
+round's share is chosen by a hash of the id), on the windows at all places of these, and sends back its parameters; their
+mean, weighted by windows, starts the next round.  So every place of every document is a target once.  The mean is taken block by block in Spark
 (first over few tasks, then over these), so the driver only sees one model, 120 numbers for each token.  There is one task
 for each core, as each sends a whole model; the model is not split, every task holds it.  What is gathered grows with the
 tokens and with the words in buckets, hence with the input.
@@ -39,7 +39,6 @@ FREQUENT = 768
 WORDS_A_BUCKET = 3
 REACH = 2
 WIDTH = 24
-STRIDE = 8
 ROUNDS = 2
 RATE = 0.1
 START_SQUARES = 1e-6
@@ -219,15 +218,15 @@ def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(hashes or [np.zeros(0, np.uint64)]), starts
 
 
-def train_network(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS, stride: int = STRIDE) -> WindowNetwork:
+def train_network(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> WindowNetwork:
     net = vocabulary.network()
     net.start_from(vocabulary.shares)
     for turn in range(rounds):
-        net = vocabulary.network(_train_round(docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == turn), vocabulary, net.flat, stride))
+        net = vocabulary.network(_train_round(docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == turn), vocabulary, net.flat))
     return net
 
 
-def _train_round(docs: DataFrame, vocabulary: Vocabulary, flat: np.ndarray, stride: int) -> np.ndarray:
+def _train_round(docs: DataFrame, vocabulary: Vocabulary, flat: np.ndarray) -> np.ndarray:
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast((vocabulary, flat))
     blocks = -(-len(flat) // BLOCK)
@@ -241,10 +240,7 @@ def _train_round(docs: DataFrame, vocabulary: Vocabulary, flat: np.ndarray, stri
             for some in range(0, len(texts), 256):
                 hashes, starts = _joined(texts[some: some + 256])
                 tokens = words.tokens(hashes)
-                at = np.arange(stride // 2, len(tokens), stride)
-                if len(tokens) and not len(at):
-                    at = np.array([0])
-                at = np.random.default_rng(SEED + len(tokens)).permutation(at)
+                at = np.random.default_rng(SEED + len(tokens)).permutation(len(tokens))
                 for k in range(0, len(at), WINDOWS_AT_ONCE):
                     places = at[k: k + WINDOWS_AT_ONCE]
                     trainer.learn(net.contexts(tokens, starts, places), tokens[places])
