@@ -4,6 +4,7 @@ import hashlib
 import os
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
@@ -174,6 +175,41 @@ def test_masking(spark):
     assert got == {1: "é [secret] and [secret].", 2: None, 3: "clean"}
 
 
+KEY_LINES = ["MIIEowIBAAKCAQEA" + "b/C+" * 12, "x9" * 32, "Qm9keQ=="]
+KEY_HEAD, KEY_END = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+
+
+@pytest.mark.parametrize("block", [
+    "\n".join([KEY_HEAD, *KEY_LINES, KEY_END]),
+    "\r\n".join([KEY_HEAD, "Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,00FF", "", *KEY_LINES, KEY_END]),
+    "\\n".join([KEY_HEAD, *KEY_LINES, KEY_END]), " ".join([KEY_HEAD, *KEY_LINES, KEY_END]), "\n    ".join([KEY_HEAD, *KEY_LINES, KEY_END]),
+    '\\n" +\n  "'.join([KEY_HEAD, *KEY_LINES, KEY_END]), "\n// ".join([KEY_HEAD, *KEY_LINES, KEY_END]), "\n".join([KEY_HEAD, *KEY_LINES]),
+    "\\n".join([KEY_HEAD, *KEY_LINES, KEY_END]).replace("/", "\\/"), "\n".join([KEY_HEAD, *["ab+/" * 16] * 3_000, KEY_END]), KEY_HEAD,
+    "\n".join(["-----BEGIN ENCRYPTED PRIVATE KEY-----", *KEY_LINES, "-----END ENCRYPTED PRIVATE KEY-----"]),
+    "\n".join(["-----BEGIN PGP PRIVATE KEY BLOCK-----", "Version: GnuPG v2", "", *KEY_LINES, "=aB3d", "-----END PGP PRIVATE KEY BLOCK-----"]),
+    "https://user:" + "t0k~" * 60 + "@", "a" * 30 + "+" + "b" * 20 + "://" + "u" * 150 + ":" + "p!" * 200 + "@",
+])
+def test_a_secret_is_covered_whole(block):
+    scanner = secret_scan.Scanner({k: secret_scan.RULES[k] for k in ("private_key", "login_in_url")})
+    for before, after in (("é text\n", "\nThen the prose goes on."), ("", ""), ('k = "', '"\nnext = 1')):
+        text = before + block + after
+        assert [text[a:b] for a, b, _ in scanner.scan([text.encode()])[0]] == [block]
+
+
+def test_masking_takes_the_whole_key(spark):
+    text = "\n".join(["see", KEY_HEAD, *KEY_LINES, KEY_END, "postgres://me:" + "s3" * 60 + "@host/db end"])
+    found = secret_scan.scan(spark.createDataFrame([(1, text)], "doc_id long, text string"), keep=("text",))
+    got = found.select(secret_scan.masked(F.col("text"), F.col("spans")).alias("m")).first().m
+    assert got == "see\n[secret]\n[secret]host/db end"
+
+
+def test_long_runs_are_scanned_in_linear_time():
+    scanner = secret_scan.Scanner({k: secret_scan.RULES[k] for k in ("private_key", "login_in_url")})
+    began = time.process_time()
+    scanner.scan([("://" + "a1" * 200_000).encode(), (KEY_HEAD + "\n" + "+/" * 100_000 + " ! ").encode(), (KEY_HEAD + "\n" * 100_000 + "!").encode(), (KEY_HEAD * 5_000).encode()])
+    assert time.process_time() - began < 5
+
+
 def test_licenses(spark):
     extra = ["The GNU General Public License, version 3 or later", "ALL\tRIGHTS...reserved", "all rights reserved all rights reserved " * 400,
              "xcc by ccby cc bye", "ümlaut-cc by", "general public license cc by all rights reserved", "Apache License, Version 2.0"]

@@ -23,13 +23,27 @@ from pyspark.sql import Column, DataFrame, functions as F
 from themeloom.llm.batches import map_texts
 
 FLAGS = re.ASCII
+# A key's block: header, attributes ("Proc-Type: ..."), base64 lines, END line; without an END line, to the last base64
+# line.  Line ends may be escaped, lines quoted, indented or joined by blanks.  No part is given back, so time is linear.
+_KIND = "(?:RSA |EC |DSA |OPENSSH |PGP |ENCRYPTED )?PRIVATE KEY(?: BLOCK)?-----"
+_BESIDE = r"""(?:[\x20\t\r"'`,;>#*|/+]|\\(?![nr]))*+"""  # quotes, comment marks and the like beside a line
+_BREAK = rf"{_BESIDE}(?:\n|\\[nr]){_BESIDE}"
+_GAP = rf"""(?:[\s"'`,;>#*|/+]|\\[nr]?)*+"""
+_CODE = r"(?:[A-Za-z0-9+/=]|\\/)"
+_LINE = rf"(?>{_BREAK}(?:{_BREAK})*+{_CODE}++(?={_BESIDE}(?:\n|\\[nr]|-----|\Z)))"
+_LONG = rf"(?>{_GAP}{_CODE}{{20,}}+)"
+_ATTRIBUTES = rf"(?>{_BREAK}[A-Z][A-Za-z0-9-]*+:[^\n\\]*+)*+"
+_PRIVATE_KEY = (
+    rf"-----BEGIN {_KIND}(?:{_ATTRIBUTES}(?:{_LINE}|{_LONG})*+(?:{_GAP}{_CODE}{{1,19}}+){{0,2}}{_GAP}-----END {_KIND}"
+    rf"|{_ATTRIBUTES}{_LONG}(?:{_LONG})*+(?:{_LINE}){{0,2}}+)?"
+)
 #: kind: (expression, group whose length counts, least length).  Matches are taken from left to right without overlap,
 #: and short ones dropped afterwards.  The first three are fixed values.
 RULES: dict[str, tuple[str, int, int]] = {
     "assign": (r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
     "access": (r"AKIA[A-Z0-9]+", 0, 20),
     "hex": (r"[0-9a-f]+", 0, 24),
-    "private_key": (r"-----BEGIN (?:RSA |EC |DSA |OPENSSH |PGP )?PRIVATE KEY(?: BLOCK)?-----", 0, 1),
+    "private_key": (_PRIVATE_KEY, 0, 1),
     "forge_token": (r"gh[pousr]_[A-Za-z0-9]+", 0, 40),
     "forge_fine_token": (r"github_pat_[A-Za-z0-9_]+", 0, 60),
     "chat_token": (r"xox[abeprs]-[A-Za-z0-9-]+", 0, 20),
@@ -40,7 +54,8 @@ RULES: dict[str, tuple[str, int, int]] = {
     "web_token": (r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 40),
     "mail_key": (r"SG\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 60),
     "bearer": (r"(?i:authorization:\x20*bearer)\x20+([A-Za-z0-9._~+/=-]+)", 1, 16),
-    "login_in_url": (r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,100}:([^\s/:@]{1,100})@", 1, 4),
+    # From the start of a run of scheme characters, so that a long run is read once.
+    "login_in_url": (r"(?<![a-z0-9+.-])[0-9+.-]*+[a-z][a-z0-9+.-]++://[^\s/:@]++:([^\s/:@]++)@", 1, 4),
 }
 SPAN = "array<struct<start: int, end: int, kind: string>>"
 
