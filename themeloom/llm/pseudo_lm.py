@@ -8,7 +8,7 @@ Tokens: words of all documents are counted; every word with ``LEAST`` occurrence
 any case) has a token of its own, every other word falls in a bucket by its hash, one bucket for three words with a token.
 So words, buckets and classes follow the corpus.  The probability of a word in a bucket is the bucket's times the word's
 share of the bucket's occurrences; the shares come from the stored counts, by a join.  A token's class holds tokens of
-similar frequency, and there are about as many classes as tokens in a class.  The output biases start from the counts.
+similar frequency, and there are a quarter as many classes as tokens in a class.  The output biases start from the counts.
 
 Training runs in ``ROUNDS``.  In a round, each task trains its own copy by Adagrad on its part of the documents (a
 round's share is chosen by a hash of the id), on the windows at all places of these, and sends back its parameters; their
@@ -62,7 +62,7 @@ class Vocabulary:
         """``frequent``: hashes of the words that have a token, the most frequent first, and their ``counts``; ``totals``:
         occurrences of the other words in each bucket."""
         self.frequent, self.hashed = len(frequent), len(totals)
-        self.classes = math.ceil(math.sqrt(self.frequent + self.hashed))
+        self.classes = math.ceil(math.sqrt(self.frequent + self.hashed) / 2)
         self.per_class = -(-(self.frequent + self.hashed) // self.classes)
         size, every = self.classes * self.per_class, np.concatenate([counts, totals])
         self.shares = np.full(size, 0.5)
