@@ -231,6 +231,38 @@ def test_licenses(spark):
     assert license_scan.scan(empty(spark)).count() == 0
 
 
+def test_license_notices(spark):
+    notices = {
+        "https://creativecommons.org/licenses/by-sa/4.0/": ["cc-by-sa-4.0"], "Creative Commons Attribution-Share Alike 3.0": ["cc-by-sa-3.0"],
+        "Creative Commons Attribution-NonCommercial-Share Alike 2.5 Generic": ["cc-by-nc-sa-2.5"], "creativecommons.org/publicdomain/zero/1.0/": ["cc0"],
+        "Creative Commons Attribution 4.0 International": ["cc-by-4.0"], "see https://www.gnu.org/licenses/gpl-3.0.html": ["gpl-3"],
+        "GPL v2 or later": ["gpl-2-or-later"], "http://www.apache.org/licenses/LICENSE-2.0": ["apache-2.0"], "MIT-0": ["mit-0"],
+        "Licensed under the Apache License, Version 2.0": ["apache-2.0"], "released under the Eclipse Public License": ["epl-any"],
+        "European Union Public Licence v1.1": ["eupl-1.1"], "Academic Free License version 3.0": ["afl-3.0"],
+        "Microsoft Public License, all rights reserved": ["ms-pl", "reserved-all"],
+        "licensed under MIT license agreement": ["mit"],
+    }
+    df = spark.createDataFrame(list(notices.items()), "text string, want array<string>")
+    for r in license_scan.scan(df.select(F.col("text").alias("doc_id"), "text")).collect():
+        assert [d.label for d in r.detections] == notices[r.doc_id], r.doc_id
+
+
+def test_detections_are_resolved_by_priority(spark):
+    rng = random.Random(14)
+    rules = [("a", "w", "w1 w2"), ("b", "w", "w2 w3 w1"), ("c", "w", "w0 w1 w2 w3"), ("d", "w", "w3(?: w0)+"), ("e", "w", "w1")]
+    rows = [(i, " ".join(f"w{rng.randint(0, 3)}" for _ in range(rng.randint(0, 40)))) for i in range(200)]
+    for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"), rules).collect():
+        words = f" {rows[r.doc_id][1]} "
+        kept = []
+        for label, _, x in rules:
+            for m in re.finditer(f"(?<= )(?:{x})(?= )", words):
+                a = words[: m.start()].count(" ") - 1
+                b = a + m[0].count(" ") + 1
+                if all(b <= k[0] or k[1] <= a for k in kept):
+                    kept.append((a, b, label))
+        assert [tuple(d) for d in r.detections] == sorted(kept)
+
+
 def brute_components(rows, words, least):
     sets = {}
     for i, t in rows:
