@@ -210,6 +210,21 @@ def test_long_runs_are_scanned_in_linear_time():
     assert time.process_time() - began < 5
 
 
+@pytest.mark.parametrize("kind", ["unigram", "bpe"])
+def test_only_merge_models_are_encoded(tmp_path, kind):
+    rng = random.Random(15)
+    lines = [" ".join("".join(rng.choice("abcd") for _ in range(rng.randint(1, 6))) for _ in range(12)) for _ in range(200)]
+    sentencepiece.SentencePieceTrainer.train(
+        sentence_iterator=iter(lines), model_prefix=f"{tmp_path}/m", vocab_size=300, model_type=kind, byte_fallback=True,
+        normalization_rule_name="identity", remove_extra_whitespaces=False, hard_vocab_limit=False, minloglevel=2,
+    )
+    if kind == "unigram":
+        with pytest.raises(ValueError, match="merge"):
+            wfst.Transducer(f"{tmp_path}/m.model")
+    else:
+        wfst.Transducer(f"{tmp_path}/m.model")
+
+
 def test_licenses(spark):
     extra = ["The GNU General Public License, version 3 or later", "ALL\tRIGHTS...reserved", "all rights reserved all rights reserved " * 400,
              "xcc by ccby cc bye", "ümlaut-cc by", "general public license cc by all rights reserved", "Apache License, Version 2.0"]

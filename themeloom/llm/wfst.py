@@ -28,6 +28,7 @@ from themeloom.llm.batches import CACHE_WORDS, array_of_lists, map_batches, raw_
 
 MARK = "▁"
 TRANSITIONS = 1_000_000
+_TRAINER, _TYPE, _UNIGRAM, _MERGE = 2, 3, 1, 2
 _NORMALIZER, _NAME, _CHARS, _PREFIX, _SQUEEZE, _ESCAPE = 3, 1, 2, 3, 4, 5
 
 
@@ -61,7 +62,10 @@ class Transducer:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        rules = next((dict(_fields(v)) for k, v in _fields(model.serialized_model_proto()) if k == _NORMALIZER), {})
+        parts = dict(_fields(model.serialized_model_proto()))
+        if dict(_fields(parts.get(_TRAINER, b""))).get(_TYPE, _UNIGRAM) != _MERGE:
+            raise ValueError("only models of the merge (BPE) kind are covered")
+        rules = dict(_fields(parts.get(_NORMALIZER, b"")))
         if rules.get(_CHARS) or rules.get(_SQUEEZE, 1) or not rules.get(_ESCAPE, 1):
             raise ValueError("only models with an identity normaliser are covered")
         self.prefix = bool(rules.get(_PREFIX, 1))
