@@ -8,7 +8,7 @@ from fractions import Fraction
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from themeloom.llm import license_scan, ngram_join, packing, pseudo_lm, secret_scan, topk, toxicity, vector_dedup, wfst, wordpiece
+from themeloom.llm import license_scan, ngram_join, packing, pseudo_lm, secret_scan, square_packing, topk, toxicity, vector_dedup, wfst, wordpiece
 from themeloom.llm.batches import documents, table
 
 
@@ -77,6 +77,11 @@ def token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return wordpiece.count_tokens(documents(spark, folder), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def square_packed(spark: SparkSession, folder: str) -> DataFrame:
+    pieces = square_packing.pack(documents(spark, folder), public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
@@ -94,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": packed,
     "op9_pieces": pieces,
     "op10_token_counts": token_counts,
+    "op13_square_packing": square_packed,
     "pipeline": pipeline,
 }
 
