@@ -24,13 +24,15 @@ import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from themeloom.llm.batches import CACHE_WORDS, raw_texts
+from themeloom.llm.batches import raw_texts
 
 WINDOW = 4096
 END_ID = 2
 #: Open windows of a task; their tokens are held in memory (4 bytes each).
 OPEN_WINDOWS = 2_000
 FLUSH_BYTES = 8_000_000
+#: Chunks in one generation of a worker's cache, about 200 bytes each.
+CACHE_CHUNKS = 250_000
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
@@ -40,13 +42,14 @@ class CachedTokenizer:
     The tokenizer drops white space and never joins text across it, so ASCII white space cuts a text into chunks that
     are looked up one by one.  A chunk of letters below U+0250, where lower-casing and composition are settled
     character by character, is cut by the tokenizer's own pattern and each piece goes to its model; any other chunk goes
-    to the whole tokenizer.
+    to the whole tokenizer.  Known chunks and pieces are held in two generations of at most ``entries`` each: when the
+    younger one is full it becomes the older one, so words that are still in use stay.
     """
 
     # Fixed value: the pre-tokenizer pattern of the tokenizer file.
     PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, entries: int = CACHE_CHUNKS):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -54,37 +57,56 @@ class CachedTokenizer:
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in plain]
         self.letters = {b: chr(256 + i) for i, b in enumerate(rest)}
-        self.chunks: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.numbers = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
+        self.entries = entries
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def piece(self, piece: str) -> bytes:
-        found = self.pieces.get(piece)
+    def keep(self, raw: bytes, ids: bytes) -> bytes:
+        if len(self.young) >= self.entries:
+            self.old, self.young = self.young, {}
+        self.young[raw] = ids
+        return ids
+
+    def piece(self, raw: bytes) -> bytes:
+        """Ids of one piece of the pattern, lower-cased."""
+        found = self.young.get(raw)
         if found is None:
-            shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
-            found = np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
-            if len(self.pieces) < CACHE_WORDS:
-                self.pieces[piece] = found
+            found = self.old.get(raw)
+            if found is None:
+                shown = raw.decode() if raw.isascii() else raw.decode("latin-1").translate(self.letters)
+                numbers = self.numbers
+                found = b"".join([numbers[t.id] for t in self.model.tokenize(shown)])
+            self.keep(raw, found)
         return found
 
     def chunk(self, raw: bytes) -> bytes:
+        """Ids of a chunk without white space, in which A-Z are lower-cased unless it has ``<|``."""
+        if raw.isalpha():
+            return self.piece(raw)
+        found = self.young.get(raw) or self.old.get(raw)
+        if found is not None:
+            return self.keep(raw, found)
+        if raw[:-1].isalpha() and 32 < raw[-1] < 127:
+            return self.keep(raw, self.piece(raw[:-1].lower()) + self.piece(raw[-1:]))
         text = raw.decode()
         if "<|" in text or max(text) >= "ɐ" or not text.isprintable():
-            ids = self.whole(text)
-        else:
-            lower = text.lower() if text.isascii() else unicodedata.normalize("NFC", text).lower()
-            ids = b"".join(map(self.piece, self.PIECES.findall(lower)))
-        if len(self.chunks) < CACHE_WORDS:
-            self.chunks[raw] = ids
-        return ids
+            return self.keep(raw, self.whole(text))
+        lower = text.lower() if text.isascii() else unicodedata.normalize("NFC", text).lower()
+        return self.keep(raw, b"".join([self.piece(p.encode()) for p in self.PIECES.findall(lower)]))
 
     def encode(self, text: bytes) -> bytes:
-        chunks, get = (text if b"<|" in text else text.lower()).split(), self.chunks.get
-        out = [get(c) for c in chunks]
+        marked = b"<|" in text
+        chunks = (text if marked else text.lower()).split()
+        if marked:
+            return b"".join([self.chunk(c if b"<|" in c else c.lower()) for c in chunks])
+        out = list(map(self.young.get, chunks))
         if None in out:
-            out = [self.chunk(c) if x is None else x for c, x in zip(chunks, out)]
+            chunk = self.chunk
+            out = [chunk(c) if x is None else x for c, x in zip(chunks, out)]
         return b"".join(out)
 
 
