@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 from fractions import Fraction
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from themeloom.llm import license_scan, ngram_join, packing, pseudo_lm, secret_scan, square_packing, topk, toxicity, vector_dedup, wfst, wordpiece
+from themeloom.llm import license_scan, ngram_join, packing, periodic_runs, pseudo_lm, secret_scan, square_packing, topk, toxicity, vector_dedup, wfst, wordpiece
 from themeloom.llm.batches import documents, table
 
 
@@ -77,6 +78,30 @@ def token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return wordpiece.count_tokens(documents(spark, folder), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def planted(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The words of a document, of every tenth with a repeated end; a null id changes nothing."""
+    h, n = 0 if doc_id is None else zlib.crc32(str(doc_id).encode()), len(words)
+    if doc_id is None or h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + (words[a:a + p] * (-(-(n - a) // p)))[:n - a]
+
+
+def periodic(spark: SparkSession, folder: str) -> DataFrame:
+    found = periodic_runs.find_runs(documents(spark, folder), change=planted)
+    more = lambda a, b: a["length"] * b["period"] > b["length"] * a["period"]
+    none = F.lit(None).cast("struct<start: bigint, length: bigint, period: bigint>")
+    best = F.aggregate("runs", none, lambda a, r: F.when(a.isNull() | more(r, a), r).otherwise(a))
+    shown = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), *[F.col("best")[k].alias(k) for k in ("start", "length", "period")],
+        F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(shown, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def square_packed(spark: SparkSession, folder: str) -> DataFrame:
     pieces = square_packing.pack(documents(spark, folder), public_tokenizers.path("word_bpe_49k.json"))
     return pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
@@ -99,6 +124,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": packed,
     "op9_pieces": pieces,
     "op10_token_counts": token_counts,
+    "op12_periodic_runs": periodic,
     "op13_square_packing": square_packed,
     "pipeline": pipeline,
 }
