@@ -9,8 +9,9 @@ from fractions import Fraction
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from themeloom.llm import license_scan, ngram_join, packing, periodic_runs, pseudo_lm, secret_scan, square_packing, topk, toxicity, vector_dedup, wfst, wordpiece
+from themeloom.llm import collocations, license_scan, ngram_join, packing, periodic_runs, pseudo_lm, secret_scan, square_packing, topk, toxicity, vector_dedup, wfst, wordpiece
 from themeloom.llm.batches import documents, table
+from themeloom.session import spread
 
 
 def secrets(spark: SparkSession, folder: str) -> DataFrame:
@@ -78,6 +79,11 @@ def token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return wordpiece.count_tokens(documents(spark, folder), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def phrases(spark: SparkSession, folder: str) -> DataFrame:
+    docs = spread(table(spark, folder, "documents").select("doc_id", "lang", "text"), "doc_id")
+    return collocations.collocations(docs)
+
+
 def planted(doc_id: int | None, words: list[bytes]) -> list[bytes]:
     """The words of a document, of every tenth with a repeated end; a null id changes nothing."""
     h, n = 0 if doc_id is None else zlib.crc32(str(doc_id).encode()), len(words)
@@ -124,9 +130,37 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": packed,
     "op9_pieces": pieces,
     "op10_token_counts": token_counts,
+    "op11_collocations": phrases,
     "op12_periodic_runs": periodic,
     "op13_square_packing": square_packed,
     "pipeline": pipeline,
 }
 
-ORACLES: dict[str, str] = {}
+_PHRASES = """
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[.,;:!?\\x0A-\\x0D]')) AS piece
+  FROM documents),
+split AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
+sizes AS (SELECT unnest([1, 2, 3, 4]) AS size),
+places AS (SELECT lang, w, size, unnest(generate_series(1, len(w) - size + 1)) AS i FROM split, sizes WHERE len(w) >= size),
+f AS (SELECT lang, size, array_to_string(w[i:i + size - 1], ' ') AS phrase, count(*) AS f FROM places GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE size = 1 GROUP BY lang),
+candidates AS (SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE size > 1 AND f >= 30),
+cuts AS (SELECT *, unnest(generate_series(1, size - 1)) AS k FROM candidates),
+scored AS (
+  SELECT c.lang, c.phrase, c.a, c.k, x.f AS l, y.f AS r, (2000000::HUGEINT * c.a // (x.f + y.f))::BIGINT AS score
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[:c.k], ' ')
+              JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[c.k + 1:], ' ')),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner_sizes AS (SELECT lang, a, w, size, unnest(generate_series(2, size - 1)) AS m FROM candidates),
+inner_places AS (SELECT lang, a, w, m, unnest(generate_series(1, size - m + 1)) AS i FROM inner_sizes),
+longer AS (SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(a) AS whole FROM inner_places GROUP BY ALL)
+SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS "rank", b.phrase, a, l, r, n, score
+FROM best b JOIN n USING (lang) LEFT JOIN longer g ON g.lang = b.lang AND g.phrase = b.phrase
+WHERE g.whole IS NULL OR 100 * g.whole < 80 * a
+QUALIFY "rank" <= 2000
+"""
+
+ORACLES: dict[str, str] = {"op11_collocations": _PHRASES}
