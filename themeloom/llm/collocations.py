@@ -39,7 +39,7 @@ TOP = 2_000
 #: A phrase goes if a longer one that holds it has this share (in hundredths) of its occurrences.
 HELD = 80
 #: Bytes of text a task counts together.
-SHARD_BYTES = 24_000_000
+SHARD_BYTES = 9_000_000
 #: Words of the corpus for each prefix range.
 RANGE_WORDS = 4_000_000
 #: Asked parts for each range of the lookup.
@@ -244,7 +244,7 @@ def shard_grams(shard: Shard, lang: str, low: int, high: int, words_seen, pairs_
     good = np.flatnonzero(_passes(words_seen, codes)).tolist()
     good.sort(key=known.__getitem__)
     words, codes = [known[i] for i in good], codes[good]
-    place = np.full(len(known) + 1, -1, np.int64)
+    place = np.full(len(known) + 1, -1, np.int32)
     place[np.array(good, np.int64) + 1] = np.arange(len(good))
     at = place[np.concatenate(shard.ids)]  # number in byte order, or -1, of each word
     paths, found, counts = np.arange(len(words))[:, None], [], []
@@ -253,14 +253,14 @@ def shard_grams(shard: Shard, lang: str, low: int, high: int, words_seen, pairs_
         counts.append(np.bincount(at[at >= 0], minlength=len(words)))
     for size in range(2, high + 1):
         both = np.flatnonzero((at[:-1] >= 0) & (at[1:] >= 0))
-        keys, number, seen = np.unique(at[both] << 32 | at[both + 1], return_inverse=True, return_counts=True)
+        keys, number, seen = np.unique(at[both].astype(np.int64) << 32 | at[both + 1], return_inverse=True, return_counts=True)
         front, back = keys >> 32, keys & 0xFFFFFFFF
         paths = np.column_stack([paths[front], paths[back][:, -1]])
         if low <= size:
             found.append(paths)
             counts.append(seen)
         if size < high:
-            at = np.full(max(len(at) - 1, 0), -1, np.int64)
+            at = np.full(max(len(at) - 1, 0), -1, np.int32)
             at[both] = number
             if size == 2:
                 ok = _passes(pairs_seen, codes[paths[:, 0]] ^ _turned(codes[paths[:, 1]]))
@@ -282,7 +282,8 @@ def count_grams(docs: DataFrame, low: int, high: int, ranges: int, least: int, w
     sent = docs.sparkSession.sparkContext.broadcast((words_seen, pairs_seen))
 
     def transducers(shards: dict[str, Shard]) -> Iterator[pa.RecordBatch]:
-        for lang, shard in shards.items():
+        while shards:
+            lang, shard = shards.popitem()
             words, rows, weights, prefix = shard_grams(shard, lang, low, high, *sent.value)
             part = (prefix % np.uint64(ranges)).astype(np.int64)
             order = np.argsort(part, kind="stable")
@@ -305,6 +306,7 @@ def count_grams(docs: DataFrame, low: int, high: int, ranges: int, least: int, w
                 if held >= SHARD_BYTES:
                     yield from transducers(shards)
                     shards, held = defaultdict(Shard), 0
+                    pa.default_memory_pool().release_unused()
             for key, some in texts.items():
                 shards[key].add(some)
             held += size
