@@ -167,11 +167,22 @@ def _equal_states(begin, sizes, label, weight, target) -> tuple[np.ndarray, np.n
     return number[leader], kept
 
 
+def row_order(rows: np.ndarray) -> np.ndarray:
+    """What sorts rows of labels from -1 on; where a row fits 62 bits it is sorted as one number."""
+    base = int(rows.max()) + 2
+    if base ** rows.shape[1] >= 1 << 62:
+        return np.lexsort(rows.T[::-1])
+    key = np.zeros(len(rows), np.int64)
+    for d in range(rows.shape[1]):
+        key = key * base + (rows[:, d] + 1)
+    return np.argsort(key)
+
+
 def total(rows: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct rows with summed weights."""
     if not len(rows):
         return rows, weights
-    order = np.lexsort(rows.T[::-1])
+    order = row_order(rows)
     rows, weights = rows[order], weights[order]
     new = np.ones(len(rows), bool)
     new[1:] = (rows[1:] != rows[:-1]).any(axis=1)
@@ -253,7 +264,11 @@ def shard_grams(shard: Shard, lang: str, low: int, high: int, words_seen, pairs_
         counts.append(np.bincount(at[at >= 0], minlength=len(words)))
     for size in range(2, high + 1):
         both = np.flatnonzero((at[:-1] >= 0) & (at[1:] >= 0))
-        keys, number, seen = np.unique(at[both].astype(np.int64) << 32 | at[both + 1], return_inverse=True, return_counts=True)
+        keys = at[both].astype(np.int64) << 32 | at[both + 1]
+        if size < high:
+            keys, number, seen = np.unique(keys, return_inverse=True, return_counts=True)
+        else:  # a plain sort is much faster
+            keys, seen = np.unique(keys, return_counts=True)
         front, back = keys >> 32, keys & 0xFFFFFFFF
         paths = np.column_stack([paths[front], paths[back][:, -1]])
         if low <= size:
@@ -267,8 +282,8 @@ def shard_grams(shard: Shard, lang: str, low: int, high: int, words_seen, pairs_
                 at[both[~ok[number]]] = -1
     rows = np.concatenate([np.pad(f, ((0, 0), (0, high - f.shape[1])), constant_values=-1) for f in found])
     weights = np.concatenate(counts).astype(np.int64)
-    if len(found) > 1:
-        order = np.lexsort(rows.T[::-1])
+    if len(found) > 1 and len(rows):
+        order = row_order(rows)
         rows, weights = rows[order], weights[order]
     prefix = np.zeros(len(rows), np.uint64)
     for d in range(min(low, high)):
