@@ -171,9 +171,9 @@ def test_density_clusters_find_planted_groups(spark):
     check_planted(topics.density_clusters(vector_table(spark, planted()), 5, cut_quantile=0.9))
 
 
-def test_density_clusters_keep_every_row_when_compressed(spark):
+def test_density_clusters_keep_every_row_in_small_blocks(spark):
     m = np.vstack([planted()])
-    found = topics.density_clusters(vector_table(spark, m), 5, cut=2.0, micro_limit=100)
+    found = topics.density_clusters(vector_table(spark, m), 5, cut=2.0, leaf=40, block=60)
     check_planted(found)
 
 

@@ -76,13 +76,13 @@ def test_names_are_rewritten_with_the_patterns(spark):
     assert {r["doc_id"]: r["text"] for r in cleaned.collect()}[4] == " "
 
 
-def test_same_topics_with_and_without_a_grid(spark):
+def test_same_topics_in_one_cell_and_in_many(spark):
     rng = np.random.default_rng(1)
     m = np.vstack([c + rng.normal(size=(600, 5)) * 0.5 for c in rng.normal(size=(3, 5)) * 10] + [rng.uniform(-60, 60, size=(20, 5))])
     rows = [(i, [float(x) for x in v]) for i, v in enumerate(m)]
     df = spark.createDataFrame(rows, "doc_id long, vector array<double>")
-    for limit in (50_000, 300):
-        topic = {r["doc_id"]: r["topic"] for r in topics.density_clusters(df, micro_limit=limit).collect()}
+    for limit in (2_048, 300):
+        topic = {r["doc_id"]: r["topic"] for r in topics.density_clusters(df, leaf=limit).collect()}
         groups = [[topic[i] for i in range(k * 600, (k + 1) * 600)] for k in range(3)]
         assert all(len(set(g) - {-1}) == 1 and g.count(-1) < 60 for g in groups), limit
         assert {max(g) for g in groups} == {0, 1, 2} and {topic[i] for i in range(1800, 1820)} == {-1}

@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from themeloom import params
 from themeloom.functions import arrays
-from themeloom.operators import linalg
+from themeloom.operators import density, linalg
 from themeloom.operators.components import connected_components
+from themeloom.operators.forest import forest_neighbours
 from themeloom.operators.linkage import merge_rounds
 from themeloom.operators.neighbors import nearest
 from themeloom.operators.rows import number_rows
@@ -111,134 +112,89 @@ def reduce_for_clusters(vectors: DataFrame, k: int = params.CLUSTER_DIMENSIONS)
     return linalg.dense_svd(normal, k)
 
 
-def _grid_cell(low: float, step: float | None):
-    """The vector itself, or its cell in a grid that starts at ``low``."""
-    return F.col("vector") if step is None else F.transform("vector", lambda x: F.floor((x - F.lit(low)) / F.lit(step)))
+def density_points(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, vector, weight) of the distinct vectors, known by their smallest document, and (doc_id, id)."""
+    marked = vectors.select("doc_id", F.col("vector").cast("array<double>").alias("vector"))
+    points = store(marked.groupBy("vector").agg(F.min("doc_id").alias("id"), F.count("*").alias("weight")), "points")
+    return points, marked.join(points.select("vector", "id"), "vector").select("doc_id", "id")
 
 
-def _cell_side(vectors: DataFrame, limit: int) -> tuple[float, float | None]:
-    """The smallest of a row of doubling cell sides that gives ``limit`` cells or
-    fewer; None where the distinct vectors already fit.
+def reach_edges(points: DataFrame, min_docs: int, neighbours: int = params.NEIGHBOURS, leaf: int = params.FOREST_LEAF,
+                trees: int = params.FOREST_TREES) -> tuple[DataFrame, DataFrame]:
+    """(id, weight, core) and mutual-reachability edges (a, b, reach) between neighbours.
 
-    One scan estimates the cells of all sides; only likely ones are counted
-    exactly.  The last side is wider than the data, so it gives one cell.
+    The core distance is that to the ``min_docs``-th vector, the own one included, or to the farthest if there are fewer.
     """
-    if vectors.select("vector").distinct().limit(limit + 1).count() <= limit:
-        return 0.0, None
-    low, high = vectors.select(F.explode("vector").alias("x")).agg(F.min("x"), F.max("x")).first()
-    sides = [(high - low) / 1024.0 * 2**i for i in range(12)]
-    rough = vectors.agg(
-        *[F.approx_count_distinct(F.xxhash64(_grid_cell(low, s)), 0.02).alias(f"s{i}") for i, s in enumerate(sides)]
-    ).first()
-    for side, cells in zip(sides, rough):
-        if cells <= limit * 1.1 and vectors.select(_grid_cell(low, side)).distinct().limit(limit + 1).count() <= limit:
-            return low, side
-    return low, sides[-1]
-
-
-def micro_clusters(vectors: DataFrame, limit: int = params.MICRO_LIMIT) -> tuple[DataFrame, DataFrame, float]:
-    """(micro, vector, weight), (doc_id, micro) and the side of a cell (0 for the vectors themselves).
-
-    Up to ``limit`` distinct vectors, each is its own micro cluster.  Beyond
-    that, vectors share a grid cell; a cell keeps the mean and the count of all
-    its rows, so every document stays in the result and no dense cell is ever
-    held whole.
-    """
-    low, step = _cell_side(vectors, limit)
-    cell = _grid_cell(low, step)
-    marked = store(vectors.select("doc_id", "vector", cell.alias("cell")), "cells")
-    groups = marked.groupBy("cell").agg(F.min("doc_id").alias("micro"), F.count("*").alias("weight"))
-    groups = store(groups, "micro")
-    members = marked.join(groups.select("cell", "micro"), "cell").select("doc_id", "micro", "vector")
-    if step is None:
-        table = groups.select("micro", F.col("cell").alias("vector"), "weight")
-    else:
-        centres = topic_vectors(members, members.select("doc_id", F.col("micro").alias("topic")))
-        table = centres.withColumnRenamed("topic", "micro").join(groups.select("micro", "weight"), "micro")
-    return store(table, "micro"), members.select("doc_id", "micro"), step or 0.0
-
-
-def reach_edges(micro: DataFrame, min_docs: int, neighbours: int = params.NEIGHBOURS) -> tuple[DataFrame, DataFrame]:
-    """Core distances (id, core) and mutual-reachability edges (a, b, reach).
-
-    The core distance is the distance within which a point and its neighbours
-    hold ``min_docs`` documents.
-    """
-    items = micro.select(F.col("micro").alias("id"), "vector")
-    k = max(neighbours, min_docs)
-    found = store(nearest(items, items, k, "euclidean", skip_self=True), "neighbours")
-    weights = micro.select(F.col("micro").alias("item"), "weight")
-    upto = Window.partitionBy("query").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    held = (
-        found.join(weights, "item")
-        .join(micro.select(F.col("micro").alias("query"), F.col("weight").alias("own")), "query")
-        .withColumn("held", F.col("own") + F.sum("weight").over(upto))
-    )
-    enough = held.filter(F.col("held") >= min_docs).groupBy("query").agg(F.min(-F.col("score")).alias("near"))
-    core = (
-        micro.join(enough, micro["micro"] == enough["query"], "left")
-        .select(
-            F.col("micro").alias("id"),
-            F.when(F.col("weight") >= min_docs, 0.0).otherwise(F.coalesce("near", F.lit(float("inf")))).alias("core"),
-        )
-    )
-    core = store(core, "core")
+    found = store(forest_neighbours(points, max(neighbours, min_docs), leaf, trees), "neighbours")
+    far = found.filter(F.col("rank") <= max(min_docs - 1, 1)).groupBy("query").agg(F.max("distance").alias("core"))
+    core = store(points.select("id", "weight").join(far.withColumnRenamed("query", "id"), "id", "left"), "core")
     edges = (
         found.join(core.select(F.col("id").alias("query"), F.col("core").alias("core_a")), "query")
         .join(core.select(F.col("id").alias("item"), F.col("core").alias("core_b")), "item")
-        .select(
-            F.least("query", "item").alias("a"),
-            F.greatest("query", "item").alias("b"),
-            F.greatest("core_a", "core_b", -F.col("score")).alias("reach"),
-        )
-        .distinct()
+        .groupBy(F.least("query", "item").alias("a"), F.greatest("query", "item").alias("b"))
+        .agg(F.min(F.greatest("core_a", "core_b", "distance")).alias("reach"))
     )
     return core, edges
 
 
+def linked_forest(points: DataFrame, core: DataFrame, forest: DataFrame, leaf: int, block: int, members: int = 32) -> DataFrame:
+    """The forest with its parts linked to one tree, so that every group has a reach at which it parts from the others.
+
+    The neighbour graph may fall into parts.  ``members`` points of each part, chosen by a hash, look for their nearest
+    ones, of which some are in other parts as there are more of them; the spanning forest of these links and the old ones has half as
+    many parts or fewer.  Distances between parts are thus those between chosen points.
+    """
+    n = core.count()
+    while n - forest.count() > 1:
+        parts = connected_components(core.select("id"), forest)
+        order = Window.partitionBy("component").orderBy(F.xxhash64("id"), "id")
+        chosen = parts.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= members)
+        chosen = store(chosen.join(points.select("id", "vector"), "id").join(core.select("id", "core"), "id"), "parts")
+        near = forest_neighbours(chosen, members + 4, max(leaf, 4 * members))
+        side = lambda name, mark: chosen.select(
+            F.col("id").alias(name), F.col("component").alias(f"part_{mark}"), F.col("core").alias(f"core_{mark}"))
+        across = near.join(side("query", "a"), "query").join(side("item", "b"), "item").filter("part_a <> part_b")
+        links = across.groupBy(F.least("query", "item").alias("a"), F.greatest("query", "item").alias("b")).agg(
+            F.min(F.greatest("core_a", "core_b", "distance")).alias("reach"))
+        forest = density.spanning_forest(forest.unionByName(links), block)
+    return forest
+
+
 def density_clusters(
     vectors: DataFrame,
     min_docs: int = params.MIN_DOCS_PER_TOPIC,
     neighbours: int = params.NEIGHBOURS,
     cut: float | None = None,
     cut_quantile: float | None = None,
-    micro_limit: int = params.MICRO_LIMIT,
+    fence: float | None = params.FENCE,
+    leaf: int = params.FOREST_LEAF,
+    block: int = params.BLOCK_EDGES,
 ) -> DataFrame:
     """(doc_id, topic): dense groups numbered by size; the rest is -1.
 
-    Points are linked when their mutual reachability is at most ``cut``, linked
-    groups with fewer than ``min_docs`` documents become outliers.  The default
-    cut is the upper fence of the finite core distances, Q3 + 1.5 (Q3 - Q1), so
-    that clean data have few outliers; a vector counts once for each of its copies,
-    ``min_docs`` times at most.  With ``cut_quantile``, and where copies make the
-    fence 0 (then 0.8), it is that quantile over distinct vectors.  The cut is never
-    below the diagonal of a grid cell, so that full cells side by side stay together.
+    The most stable clusters of the density hierarchy (``operators.density``), so groups of unequal density are found
+    side by side; documents that only hang on one from afar leave it (``density.without_far_points``; all stay if ``fence``
+    is None).  With ``cut``, or the quantile ``cut_quantile`` of the core distances, the groups are instead the parts
+    with ``min_docs`` documents whose vectors reach each other within that distance.  ``leaf`` and ``block`` bound the work
+    of a task; the second does not change the result, nor does the first if the vectors fit one cell.
     """
-    micro, members, side = micro_clusters(vectors, micro_limit)
-    core, edges = reach_edges(micro, min_docs, neighbours)
-    if cut is None:
-        finite = core.filter(F.col("core") < float("inf"))
-        if cut_quantile is None:
-            count = F.least("weight", F.lit(min_docs))
-            known = finite.join(micro.select(F.col("micro").alias("id"), "weight"), "id")
-            low, high = known.agg(F.percentile("core", F.array(F.lit(0.25), F.lit(0.75)), count)).first()[0] or (0.0, 0.0)
-            cut = high + 1.5 * (high - low)
-        if not cut:
-            cut = finite.agg(F.percentile("core", F.lit(cut_quantile or 0.8))).first()[0] or 0.0
-        cut = max(cut, side * len((micro.first() or {"vector": []})["vector"]) ** 0.5)
-    linked = edges.filter(F.col("reach") <= cut).select("a", "b")
-    groups = connected_components(micro.select(F.col("micro").alias("id")), linked)
-    sizes = (
-        groups.join(micro.select(F.col("micro").alias("id"), "weight"), "id")
-        .groupBy("component")
-        .agg(F.sum("weight").alias("docs"))
-        .filter(F.col("docs") >= min_docs)
-        .select("component")
-    )
-    kept = groups.join(sizes, "component").select(F.col("id").alias("micro"), "component")
-    topics = members.join(kept, "micro", "left").select(
-        "doc_id", F.coalesce("component", F.lit(params.OUTLIER)).alias("topic")
-    )
+    points, members = density_points(vectors)
+    core, edges = reach_edges(points, min_docs, neighbours, leaf)
+    forest = density.spanning_forest(edges, block)
+    if cut is None and cut_quantile is None:
+        forest = linked_forest(points, core, forest, leaf, block)
+    if cut is None and cut_quantile is None:
+        fallen, tree = density.condensed_tree(core, forest, min_docs, block)
+        found = density.point_topics(fallen, tree)
+        if fence is not None:
+            found = density.without_far_points(found, core, min_docs, fence)
+    else:
+        if cut is None:
+            cut = core.agg(F.percentile("core", F.lit(cut_quantile))).first()[0] or 0.0
+        groups = connected_components(core.select("id"), forest.filter(F.col("reach") <= cut).select("a", "b"))
+        sizes = groups.join(core, "id").groupBy("component").agg(F.sum("weight").alias("docs")).filter(F.col("docs") >= min_docs)
+        found = groups.join(sizes, "component", "left_semi").select("id", F.col("component").alias("topic"))
+    topics = members.join(found, "id", "left").select("doc_id", F.coalesce("topic", F.lit(params.OUTLIER)).alias("topic"))
     return number_by_size(store(topics, "groups"))
 
 

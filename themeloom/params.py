@@ -40,5 +40,10 @@ SHORT_LABEL_CHARS = 30
 # Upper bounds for anything sent to every task or fetched to the driver.
 # Each use checks the actual size first and takes a shuffle-based way beyond it.
 SHIP_BYTES = 128 * 1024 * 1024
-MICRO_LIMIT = 50_000
 PAIR_TOPICS_LIMIT = 4_000
+
+# Rows compared with each other in one task, trees of a neighbour search, and edges handled by one task.
+FOREST_LEAF = 2_048
+FOREST_TREES = 6
+BLOCK_EDGES = 200_000
+FENCE = 3.0  # quartile ranges over the third quartile from which a point is far from its topic
