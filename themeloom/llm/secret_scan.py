@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from themeloom.llm.batches import map_texts
+from themeloom.llm.batches import WORDS, map_texts
 
 FLAGS = re.ASCII
 # A key's block: header, attributes ("Proc-Type: ..."), base64 lines, END line; without an END line, to the last base64
@@ -131,23 +131,27 @@ class TrigramIndex:
     _LOWER = np.arange(256, dtype=np.uint8)
     _LOWER[65:91] += 32
 
-    def __init__(self, texts: list[bytes], numbers: np.ndarray, grams: list[int]):
-        """``numbers``: for each of all 2^24 trigrams its place in ``grams`` plus one, or 0."""
+    def __init__(self, texts: list[bytes], pairs: np.ndarray, grams: list[int]):
+        """``grams`` are sorted; ``pairs`` marks the two bytes that any of them begins with."""
+        self.sorted = np.array(grams, np.int64)
         self.grams = {g: i for i, g in enumerate(grams)}
         self.rows = len(texts)
         self.postings = np.zeros((len(grams), self.rows), bool)
         for first in range(0, self.rows, 512):
-            self._add(first, texts[first: first + 512], numbers)
+            self._add(first, texts[first: first + 512], pairs)
 
-    def _add(self, first: int, texts: list[bytes], numbers: np.ndarray) -> None:
+    def _add(self, first: int, texts: list[bytes], pairs: np.ndarray) -> None:
         joined = self._LOWER[np.frombuffer(b"\0\0".join(texts), np.uint8)]  # no trigram spans two texts
-        if len(joined) < 3:
+        if len(joined) < 3 or not len(self.sorted):
             return
-        wide = joined.astype(np.uint32)
-        found = numbers[wide[:-2] << 16 | wide[1:-1] << 8 | wide[2:]]
-        at = np.flatnonzero(found)
+        pair = joined[:-2].astype(np.uint16) << 8 | joined[1:-1]
+        at = np.flatnonzero(pairs[pair])
+        gram = pair[at].astype(np.int64) << 8 | joined[at + 2]
+        number = np.searchsorted(self.sorted, gram)
+        known = self.sorted[np.minimum(number, len(self.sorted) - 1)] == gram
+        at, number = at[known], number[known]
         starts = np.cumsum([0, *(len(t) + 2 for t in texts)])
-        self.postings[found[at] - 1, first + np.searchsorted(starts, at, "right") - 1] = True
+        self.postings[number, first + np.searchsorted(starts, at, "right") - 1] = True
 
     def rows_of(self, query: tuple) -> np.ndarray:
         if query == ANY:
@@ -161,12 +165,12 @@ class Scanner:
     def __init__(self, rules: dict[str, tuple[str, int, int]]):
         self.rules = [(kind, re.compile(x, FLAGS), query_of(x), group, least) for kind, (x, group, least) in rules.items()]
         self.grams = sorted(set().union(*(grams_of(q) for _, _, q, _, _ in self.rules)))
-        self.numbers = np.zeros(1 << 24, np.uint16)
-        self.numbers[self.grams] = np.arange(1, len(self.grams) + 1)
+        self.pairs = np.zeros(1 << 16, bool)  # the first two bytes of any trigram
+        self.pairs[[g >> 8 for g in self.grams]] = True
 
     def scan(self, texts: list[bytes]) -> list[list[tuple[int, int, str]]]:
         """Spans of each text by start, then in the order of the rules."""
-        index = TrigramIndex(texts, self.numbers, self.grams)
+        index = TrigramIndex(texts, self.pairs, self.grams)
         found: list[list] = [[] for _ in texts]
         decoded: dict[int, str] = {}
         for order, (kind, expression, query, group, least) in enumerate(self.rules):
@@ -194,6 +198,7 @@ def scan(docs: DataFrame, rules: dict[str, tuple[str, int, int]] | None = None,
     key = tuple(rules.items())
 
     def run(texts: list[bytes]) -> list:
+        WORDS.clear()  # of an earlier stage in this worker
         if key not in _SCANNERS:
             _SCANNERS[key] = Scanner(dict(key))
         return [[{"start": a, "end": b, "kind": k} for a, b, k in s] for s in _SCANNERS[key].scan(texts)]
