@@ -35,19 +35,34 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Of each group of documents linked by near-equal word sets, the one with the smallest id.
+    """Of each group of documents linked by near-equal word sets, one: that with the smallest id.
 
-    Documents without a word are kept, and so are rows without an id.  Of rows that repeat an id one is kept.
+    Documents without a word are kept, and so are rows without an id.  Of rows with equal id and text one is kept.  An id
+    with several texts is several documents: one goes by the id, the others by a negative number made of id and text, so
+    no text is lost unless a near copy of it stays.
     """
-    found = ngram_join.jaccard_components(docs, SHINGLE_WORDS, SIMILARITY)
-    copies = found.filter("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
-    again = kept.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1 AND doc_id IS NOT NULL").select("doc_id")
-    rows = store(kept.join(again, "doc_id"), "again")
-    if rows.isEmpty():
-        return kept
-    first = rows.groupBy("doc_id").agg(F.min(F.struct(*[c for c in docs.columns if c != "doc_id"])).alias("_row"))
-    return kept.join(again, "doc_id", "left_anti").unionByName(first.select("doc_id", "_row.*").select(*docs.columns))
+    digest = F.xxhash64("text")
+    texts = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(digest).alias("_first"), F.max(digest).alias("_last"), F.count("*").alias("_rows"))
+    again = store(texts.filter("_rows > 1"), "again")
+    if again.isEmpty():
+        copies = _copies(docs.select("doc_id", "text"))
+        return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")).withColumn("doc_id", F.col("_row.doc_id"))
+    other = F.xxhash64("doc_id", "_row.text").bitwiseOR(F.lit(-1 << 63))
+    keyed = row.join(again, "doc_id", "left").select(
+        "_row", F.when(F.xxhash64("_row.text") != F.col("_first"), other).otherwise(F.col("doc_id")).alias("doc_id"))
+    keyed = store(keyed, "keyed")
+    kept = keyed.join(_copies(keyed.select("doc_id", F.col("_row.text").alias("text"))), "doc_id", "left_anti")
+    repeated = kept.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1 AND doc_id IS NOT NULL").select("doc_id")
+    repeated = store(repeated, "repeated")
+    first = kept.join(repeated, "doc_id").groupBy("doc_id").agg(F.min("_row").alias("_row"))
+    one = kept.join(repeated, "doc_id", "left_anti").select("_row").unionByName(first.select("_row"))
+    return one.select("_row.*").select(*docs.columns)
+
+
+def _copies(texts: DataFrame) -> DataFrame:
+    found = ngram_join.jaccard_components(texts, SHINGLE_WORDS, SIMILARITY)
+    return found.filter("doc_id <> component_id").select("doc_id").distinct()
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
