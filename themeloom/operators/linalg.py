@@ -1,8 +1,9 @@
 """Truncated SVD of document tables.
 
-Randomised subspace iteration (Halko, Martinsson and Tropp, 2011).  Documents
-stay distributed.  A term-side matrix is sent to the tasks only if its checked
-size fits ``params.SHIP_BYTES``; a larger one stays a table and is joined.
+Randomised subspace iteration (Halko, Martinsson and Tropp, 2011).  The documents
+are tiles of row and column blocks, the tall matrices of both sides are tables of
+row blocks, and their bases come from trees of QR decompositions (Demmel,
+Grigori, Hoemmen and Langou, 2012).
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from themeloom import params
@@ -20,6 +22,10 @@ from themeloom.operators.skew import join_counted
 from themeloom.session import store
 
 _CHUNK = 200_000  # matrix entries handled at once inside a task
+_TILE = 1_000_000  # entries of a row block
+_GROUP = 2_000_000  # entries of a column block that a task multiplies
+_FAN = 32  # blocks added or decomposed together
+_ARROW = {"int": pa.int32(), "long": pa.int64()}
 
 
 @dataclass
@@ -65,30 +71,21 @@ def tfidf_rows(counts: DataFrame, doc: str = "doc_id") -> tuple[DataFrame, DataF
     return store(rows, "sparse"), vocabulary
 
 
-def _chunks(batch: pa.RecordBatch):
-    """Split a batch of sparse rows into pieces of about ``_CHUNK`` entries."""
+def _chunks(batch: pa.RecordBatch, size: int = _CHUNK):
+    """Split a batch of sparse rows into pieces of about ``size`` entries."""
     idx_list = batch.column("idx")
     offsets = idx_list.offsets.to_numpy()
     idx = idx_list.values.to_numpy()
     val = batch.column("val").values.to_numpy()
     start, rows = 0, len(offsets) - 1
     while start < rows:
-        stop = int(np.searchsorted(offsets, offsets[start] + _CHUNK, side="right")) - 1
+        stop = int(np.searchsorted(offsets, offsets[start] + size, side="right")) - 1
         stop = min(max(stop, start + 1), rows)
         lo, hi = offsets[start], offsets[stop]
         yield start, stop, idx[lo:hi], val[lo:hi], offsets[start : stop + 1] - lo
         start = stop
 
 
-def _row_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Sums of consecutive runs of rows; an empty run gives zero."""
-    out = np.zeros((len(offsets) - 1, values.shape[1]), dtype=values.dtype)
-    filled = np.flatnonzero(np.diff(offsets) > 0)
-    if len(filled):
-        out[filled] = np.add.reduceat(values, offsets[:-1][filled], axis=0)
-    return out
-
-
 def _sum_by(ids: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(ids, kind="stable")
     keys, first = np.unique(ids[order], return_index=True)
@@ -101,108 +98,11 @@ def _list_batch(names: list[str], keys: np.ndarray, matrix: np.ndarray) -> pa.Re
     return pa.RecordBatch.from_arrays([pa.array(keys), pa.ListArray.from_arrays(steps, flat)], names=names)
 
 
-def _packed_batch(keys: np.ndarray, matrix: np.ndarray) -> pa.RecordBatch:
-    """(col, packed): each row of doubles as one binary value, cheap to shuffle."""
-    data = np.ascontiguousarray(matrix, dtype=np.float64)
-    steps = np.arange(0, data.nbytes + 1, data.shape[1] * 8, dtype=np.int32)
-    packed = pa.Array.from_buffers(pa.binary(), len(data), [None, pa.py_buffer(steps), pa.py_buffer(data)])
-    return pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int32)), packed], names=["col", "packed"])
-
-
-def _unpacked(column: pa.Array) -> np.ndarray:
-    """Rows of doubles from a column of equally long binary values."""
-    rows = len(column)
-    _, offsets, data = column.buffers()
-    steps = np.frombuffer(offsets, dtype=np.int32)[column.offset : column.offset + rows + 1]
-    return np.frombuffer(data, dtype=np.uint8)[steps[0] : steps[-1]].view(np.float64).reshape(rows, -1)
-
-
 def _slices(count: int, size: int = 20_000) -> Iterator[slice]:
     for start in range(0, count, size):
         yield slice(start, min(start + size, count))
 
 
-def _power_pass(rows: DataFrame, width: int, block) -> DataFrame:
-    """(col, vector) rows of ``A^T (A Z)``, summed over all documents.
-
-    ``block(idx)`` gives the rows of Z.  Tasks sum before the shuffle, and the
-    summing side streams, so no group is held whole.
-    """
-
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        acc, touched = None, np.zeros(width, dtype=bool)
-        for batch in batches:
-            for _, _, idx, val, offsets in _chunks(batch):
-                if not len(idx):
-                    continue
-                y = _row_sums(block(idx) * val[:, None], offsets)
-                back = np.repeat(y, np.diff(offsets), axis=0) * val[:, None]
-                keys, sums = _sum_by(idx, back)
-                if acc is None:
-                    acc = np.zeros((width, y.shape[1]))
-                acc[keys] += sums
-                touched[keys] = True
-        if acc is not None:
-            keys = np.flatnonzero(touched)
-            for part in _slices(len(keys)):
-                yield _packed_batch(keys[part], acc[keys[part]])
-
-    return _sum_packed(rows.select("idx", "val").mapInArrow(partial, "col int, packed binary"))
-
-
-def _sum_packed(df: DataFrame) -> DataFrame:
-    """Element-wise sums of the rows of each ``col``, streamed per partition."""
-
-    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, sums, held_k, held_v, held = None, None, [], [], 0
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            held_k.append(batch.column(0).to_numpy())
-            held_v.append(_unpacked(batch.column(1)))
-            held += batch.num_rows
-            if held >= 50_000:
-                keys, sums = _merge(keys, sums, held_k, held_v)
-                held_k, held_v, held = [], [], 0
-        if held:
-            keys, sums = _merge(keys, sums, held_k, held_v)
-        if keys is not None:
-            for part in _slices(len(keys)):
-                yield _packed_batch(keys[part], sums[part])
-
-    return df.repartition("col").mapInArrow(total, "col int, packed binary")
-
-
-def _merge(keys, sums, held_k, held_v):
-    if keys is not None:
-        held_k, held_v = [keys, *held_k], [sums, *held_v]
-    return _sum_by(np.concatenate(held_k), np.concatenate(held_v))
-
-
-def _fetch(table: DataFrame, rows: int, width: int) -> np.ndarray:
-    """A (col, packed) table of checked size as a matrix on the driver."""
-    out = np.zeros((rows, width))
-    for batch in table.toArrow().to_batches():
-        if batch.num_rows:
-            out[batch.column(0).to_numpy()] = _unpacked(batch.column(1))
-    return out
-
-
-def _whitening(gram_matrix: np.ndarray) -> np.ndarray:
-    """What turns columns with this Gram matrix into orthonormal ones; directions
-    of no weight are left out."""
-    values, vectors = np.linalg.eigh((gram_matrix + gram_matrix.T) / 2)
-    kept = values > values.max() * 1e-13
-    return vectors[:, kept] / np.sqrt(values[kept])
-
-
-def _orthonormal(matrix: np.ndarray) -> np.ndarray:
-    """An orthonormal basis of the columns.  Done twice for accuracy."""
-    for _ in range(2):
-        matrix = matrix @ _whitening(matrix.T @ matrix)
-    return matrix
-
-
 def gram(df: DataFrame, column: str, width: int) -> DataFrame:
     """(i, j, value): the ``width`` x ``width`` matrix of sums of v_i * v_j."""
 
@@ -294,100 +194,219 @@ def dense_svd(df: DataFrame, k: int, key: str = "doc_id", column: str = "vector"
     return project(df, key, column, vectors)
 
 
-def truncated_svd(
-    rows: DataFrame,
-    width: int,
-    k: int = params.SVD_DIMENSIONS,
-    passes: int = params.SVD_POWER_PASSES,
-    oversample: int = params.SVD_OVERSAMPLE,
-    seed: int = params.SEED,
-    ship_bytes: int = params.SHIP_BYTES,
-) -> Reduction:
-    """Leading ``k`` dimensions of the sparse rows (key, idx, val), not centred."""
-    p = min(k + oversample, width)
-    k = min(k, p)
-    if width * p * 8 <= ship_bytes:
-        return _svd_shipped(rows, width, k, p, passes, seed)
-    return _svd_joined(rows, k, p, passes, seed)
-
-
-def _svd_shipped(rows: DataFrame, width: int, k: int, p: int, passes: int, seed: int) -> Reduction:
-    context = rows.sparkSession.sparkContext
-    basis = _orthonormal(_fetch(_power_pass(rows, width, lambda idx: signs(idx, p, seed)), width, p))
-    for _ in range(passes - 1):
-        sent = context.broadcast(basis.astype(np.float32))
-        sketch = _power_pass(rows, width, lambda idx: sent.value[idx].astype(np.float64))
-        basis = _orthonormal(_fetch(sketch, width, basis.shape[1]))
-        sent.unpersist()
-    p, k = basis.shape[1], min(k, basis.shape[1])
-    sent = context.broadcast(basis)
-    scores = _times(rows, lambda idx: sent.value[idx], "y")
-    turn, singular = _ritz(_to_matrix(gram(scores, "y", p), p), k)
-    final = context.broadcast(basis @ turn)
-    vectors = _times(rows, lambda idx: final.value[idx], "vector")
-    return Reduction(vectors, _basis_table(rows, width, final), singular)
-
-
-def _times(rows: DataFrame, block, name: str) -> DataFrame:
-    """(key, A Z) for sparse rows; ``block(idx)`` gives the rows of Z."""
+def _pack_matrix(matrix: np.ndarray) -> bytes:
+    return np.ascontiguousarray(matrix, dtype=np.float64).tobytes()
+
+
+def _matrix(raw: bytes, width: int) -> np.ndarray:
+    return np.frombuffer(raw, np.float64).reshape(-1, width)
+
+
+def _tiles(rows: DataFrame, columns: int) -> tuple[DataFrame, DataFrame]:
+    """(r, c, n, pos, idx, val): the entries of row block ``r`` in column block ``c`` with their places in both, and
+    (r, keys) of the row blocks, which have about ``_TILE`` entries.  Both are stored."""
     kind = dict(rows.dtypes)["key"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        r = TaskContext.get().partitionId() << 24
         for batch in batches:
-            for start, stop, idx, val, offsets in _chunks(batch):
-                y = _row_sums(block(idx) * val[:, None], offsets)
-                flat = pa.array(y.ravel())
-                steps = pa.array(np.arange(0, y.size + 1, y.shape[1], dtype=np.int32))
-                keys = batch.column("key").slice(start, stop - start)
-                yield pa.RecordBatch.from_arrays([keys, pa.ListArray.from_arrays(steps, flat)], names=["key", name])
+            for start, stop, idx, val, offsets in _chunks(batch, _TILE):
+                pos = np.repeat(np.arange(stop - start, dtype=np.int32), np.diff(offsets))
+                order = np.argsort(idx // columns, kind="stable")
+                pos, idx, val = pos[order], idx[order], val[order]
+                blocks, first = np.unique(idx // columns, return_index=True)
+                parts = [slice(a, b) for a, b in zip(first, [*first[1:], len(idx)])]
+                keys, none = batch.column("key").slice(start, stop - start), len(parts)
+                listed = pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([r] * (none + 1), pa.int64()), pa.array([-1, *blocks.tolist()], pa.int32()), pa.array([stop - start] * (none + 1), pa.int32()),
+                    pa.array([None, *(pos[p].astype(np.int32).tobytes() for p in parts)], pa.binary()),
+                    pa.array([None, *((idx[p] % columns).astype(np.int32).tobytes() for p in parts)], pa.binary()),
+                    pa.array([None, *(val[p].astype(np.float64).tobytes() for p in parts)], pa.binary()),
+                    pa.concat_arrays([listed, pa.nulls(none, listed.type)]),
+                ], names=["r", "c", "n", "pos", "idx", "val", "keys"])
+                r += 1
+
+    schema = f"r long, c int, n int, pos binary, idx binary, val binary, keys array<{kind}>"
+    stored = store(rows.select("key", "idx", "val").mapInArrow(cut, schema), "tiles")
+    return stored.filter("c >= 0").drop("keys"), stored.filter("c < 0").select("r", "keys")
+
+
+class _Blocks:
+    """Products of the tiles with matrices kept as tables of row blocks: (r, packed) and (c, packed).
+
+    Tiles of a column block and ``parts`` shares of the row blocks meet the matrix blocks they need in one task; the
+    number of shares follows the entries, so a task's work is bounded and a frequent term is spread over all shares.
+    """
 
-    return rows.select("key", "idx", "val").mapInArrow(run, f"key {kind}, {name} array<double>")
+    def __init__(self, tiles: DataFrame, width: int, columns: int):
+        self.width, self.columns, self.count = width, columns, -(-width // columns)
+        entries = tiles.groupBy("c").agg((F.sum(F.octet_length("val")) / 8).alias("n")).agg(F.max("n")).first()[0] or 1
+        self.parts = int(-(-entries // _GROUP))
+        self.tiles = tiles.withColumn("s", self._share())
+
+    def _share(self):
+        return F.pmod(F.xxhash64("r"), F.lit(self.parts))
+
+    def forward(self, z: DataFrame, p: int) -> DataFrame:
+        """(r, packed) of A Z for Z as (c, packed)."""
+
+        def product(tiles: pa.Table, blocks: pa.Table) -> pa.Table:
+            out_r, out = [], []
+            if tiles.num_rows and blocks.num_rows:
+                block = _matrix(blocks.column("packed")[0].as_py(), p)
+                for tile in tiles.to_pylist():
+                    pos, idx, val = (np.frombuffer(tile[c], t) for c, t in (("pos", np.int32), ("idx", np.int32), ("val", np.float64)))
+                    y = np.zeros((tile["n"], p))
+                    held, first = np.unique(pos, return_index=True)  # in order within a tile
+                    for some in _slices(len(held), 2_000):
+                        a, b = first[some][0], (first[some.stop] if some.stop < len(first) else len(pos))
+                        y[held[some]] = np.add.reduceat(block[idx[a:b]] * val[a:b, None], first[some] - a, axis=0)
+                    out_r.append(tile["r"])
+                    out.append(_pack_matrix(y))
+            return pa.table({"r": pa.array(out_r, pa.int64()), "packed": pa.array(out, pa.binary())})
+
+        spread = z.select("c", "packed", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(self.parts - 1).cast("long"))).alias("s"))
+        found = self.tiles.groupBy("c", "s").cogroup(spread.groupBy("c", "s")).applyInArrow(product, "r long, packed binary")
+        return _sum_blocks(found, "r", "long")
+
+    def back(self, y: DataFrame, p: int) -> DataFrame:
+        """(c, packed) of A^T Y for Y as (r, packed)."""
+        columns = self.columns
+
+        def product(tiles: pa.Table, blocks: pa.Table) -> pa.Table:
+            if not tiles.num_rows or not blocks.num_rows:
+                return pa.table({"c": pa.array([], pa.int32()), "s": pa.array([], pa.int64()), "packed": pa.array([], pa.binary())})
+            of_row = dict(zip(blocks.column("r").to_pylist(), blocks.column("packed").to_pylist()))
+            acc = np.zeros((columns, p))
+            for tile in tiles.to_pylist():
+                pos, idx, val = (np.frombuffer(tile[c], t) for c, t in (("pos", np.int32), ("idx", np.int32), ("val", np.float64)))
+                matrix = _matrix(of_row[tile["r"]], p)
+                for some in _slices(len(pos), 100_000):
+                    keys, sums = _sum_by(idx[some], matrix[pos[some]] * val[some, None])
+                    acc[keys] += sums
+            c, s = tiles.column("c")[0], tiles.column("s")[0]
+            return pa.table({"c": pa.array([c.as_py()], pa.int32()), "s": pa.array([s.as_py()], pa.int64()), "packed": pa.array([_pack_matrix(acc)], pa.binary())})
+
+        spread = y.select("r", "packed", self._share().alias("s"), F.explode(F.sequence(F.lit(0), F.lit(self.count - 1))).alias("c"))
+        found = self.tiles.groupBy("c", "s").cogroup(spread.groupBy("c", "s")).applyInArrow(product, "c int, s long, packed binary")
+        left = self.parts
+        while left > _FAN:  # a tree, so that no task adds more than _FAN blocks
+            left = -(-left // _FAN)
+            found = _sum_blocks(found.withColumn("s", F.pmod("s", F.lit(left))), "c", "int", "s")
+        return _sum_blocks(found, "c", "int")
+
+
+def _sum_blocks(df: DataFrame, key: str, kind: str, share: str | None = None) -> DataFrame:
+    """Sums of the packed matrices of equal ``key`` (and ``share``)."""
+    names = [key] + ([share] if share else [])
+
+    def add(table: pa.Table) -> pa.Table:
+        packed = table.column("packed")
+        acc = np.frombuffer(packed[0].as_py(), np.float64).copy()
+        for i in range(1, len(packed)):
+            acc += np.frombuffer(packed[i].as_py(), np.float64)
+        return pa.table({n: table.column(n).slice(0, 1) for n in names} | {"packed": pa.array([acc.tobytes()], pa.binary())})
+
+    schema = f"{key} {kind}, " + (f"{share} long, " if share else "") + "packed binary"
+    return df.groupBy(*names).applyInArrow(add, schema)
+
+
+def _triangle(blocks: DataFrame, key: str, p: int) -> np.ndarray:
+    """R of the QR decomposition of the matrix whose row blocks are (key, packed): a tree of QRs, ``_FAN`` at a time."""
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((0, p))
+        for batch in batches:
+            for raw in batch.column(0).to_pylist():
+                held = np.linalg.qr(np.concatenate([held, _matrix(raw, p)]), mode="r")
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([_pack_matrix(held)], pa.binary())], ["g", "packed"])
+
+    def join(table: pa.Table) -> pa.Table:
+        r = np.linalg.qr(np.concatenate([_matrix(x.as_py(), p) for x in table.column("packed")]), mode="r")
+        return pa.table({"g": table.column("g").slice(0, 1), "packed": pa.array([_pack_matrix(r)], pa.binary())})
 
+    level = blocks.select("packed").mapInArrow(local, "g long, packed binary")
+    left = blocks.rdd.getNumPartitions()
+    while left > _FAN:
+        left = -(-left // _FAN)
+        level = level.withColumn("g", F.pmod("g", F.lit(left))).groupBy("g").applyInArrow(join, "g long, packed binary")
+    parts = [_matrix(bytes(row["packed"]), p) for row in level.collect()]  # _FAN at most
+    return np.linalg.qr(np.concatenate(parts), mode="r") if parts else np.zeros((0, p))
 
-def _basis_table(rows: DataFrame, width: int, final) -> DataFrame:
-    """The term-side matrix as a (col, vector) table, made inside the tasks."""
+
+def _times_small(blocks: DataFrame, key: str, kind: str, p: int, matrix: np.ndarray) -> DataFrame:
+    """Row blocks times a small matrix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            for part in _slices(len(ids)):
-                yield _list_batch(["col", "vector"], ids[part].astype(np.int32), final.value[ids[part]])
+            for name, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                yield pa.RecordBatch.from_arrays([pa.array([name], _ARROW[kind]), pa.array([_pack_matrix(_matrix(raw, p) @ matrix)], pa.binary())], [key, "packed"])
 
-    spark = rows.sparkSession
-    return spark.range(width).mapInArrow(run, "col int, vector array<double>")
+    return blocks.select(key, "packed").mapInArrow(run, f"{key} {kind}, packed binary")
 
 
-def _svd_joined(rows: DataFrame, k: int, p: int, passes: int, seed: int) -> Reduction:
-    """The same iteration with the term-side matrix kept as a table.
+def _right_factor(triangle: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Right singular vectors with a fixed sign, and singular values; directions of no weight are left out."""
+    _, values, turned = np.linalg.svd(triangle)
+    vectors = turned[: len(values)].T
+    kept = values > (values.max() if len(values) else 0.0) * 1e-10
+    vectors, values = vectors[:, kept], values[kept]
+    if not len(values):
+        return vectors, values
+    flip = np.sign(vectors[np.abs(vectors).argmax(axis=0), np.arange(vectors.shape[1])])
+    return vectors * np.where(flip == 0, 1, flip), values
 
-    Both products are hash aggregates over a join with map-side sums; skewed
-    terms are split by adaptive execution.
-    """
-    entries = store(
-        rows.select("key", F.explode(F.arrays_zip("idx", "val")).alias("e"))
-        .select("key", F.col("e.idx").alias("col"), F.col("e.val").alias("val")),
-        "entries",
-    )
 
-    def product(left: DataFrame, vectors: DataFrame, on: str, by: str, width: int) -> DataFrame:
-        sums = [F.sum(F.col("val") * F.col("vector")[j]).alias(f"s{j}") for j in range(width)]
-        out = left.join(vectors, on).groupBy(by).agg(*sums)
-        return out.select(by, F.array(*[f"s{j}" for j in range(width)]).alias("vector"))
+def truncated_svd(
+    rows: DataFrame,
+    width: int,
+    k: int = params.SVD_DIMENSIONS,
+    passes: int = params.SVD_POWER_PASSES,
+    oversample: int = params.SVD_OVERSAMPLE,
+    seed: int = params.SEED,
+    columns: int = params.SVD_COLUMNS,
+) -> Reduction:
+    """Leading ``k`` dimensions of the sparse rows (key, idx, val), not centred.
+
+    The term-side matrix is a table of blocks of ``columns`` rows; only p x p matrices reach the driver.
+    """
+    p = min(k + oversample, width)
+    tiles, docs = _tiles(rows, columns)
+    blocks = _Blocks(tiles, width, columns)
 
     def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            yield _list_batch(["col", "vector"], ids.astype(np.int32), signs(ids, p, seed))
+            for c in batch.column(0).to_pylist():
+                ids = np.arange(c * columns, (c + 1) * columns)
+                packed = _pack_matrix(signs(ids, p, seed))
+                yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([packed], pa.binary())], ["c", "packed"])
 
-    kind = dict(entries.dtypes)["col"]
-    terms = entries.select("col").distinct()
-    z = terms.mapInArrow(start, f"col {kind}, vector array<double>")
+    z, width_z = rows.sparkSession.range(blocks.count).mapInArrow(start, "c int, packed binary"), p
     for _ in range(passes):
-        y = product(entries, z, "col", "key", p)
-        z = store(product(entries, y, "key", "col", p), "sketch")
-        for _ in range(2):  # as _orthonormal, on the table
-            turn = _whitening(_to_matrix(gram(z, "vector", p), p))
-            z, p = store(project(z, "col", "vector", turn), "basis"), turn.shape[1]
-    y = store(product(entries, z, "col", "key", p), "scores")
-    turn, singular = _ritz(_to_matrix(gram(y, "vector", p), p), min(k, p))
-    return Reduction(project(y, "key", "vector", turn), project(z, "col", "vector", turn), singular)
+        z = store(blocks.back(blocks.forward(z, width_z), width_z), "basis")
+        vectors, values = _right_factor(_triangle(z, "c", width_z))
+        z, width_z = store(_times_small(z, "c", "int", width_z, vectors / values), "basis"), len(values)
+    y = store(blocks.forward(z, width_z), "scores") if width_z else blocks.tiles.limit(0).select("r", F.col("val").alias("packed"))
+    turn, singular = _right_factor(_triangle(y, "r", width_z)) if width_z else (np.zeros((0, 0)), np.zeros(0))
+    turn, singular = turn[:, :k], singular[:k]
+    kind = dict(rows.dtypes)["key"]
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                keys = batch.column(0).slice(i, 1).flatten()
+                raw = batch.column(1)[i].as_py()
+                found = _matrix(raw, width_z) @ turn if raw is not None else np.zeros((len(keys), len(singular)))
+                for part in _slices(len(keys)):
+                    yield _list_batch(["key", "vector"], keys.slice(part.start, part.stop - part.start), found[part])
+
+    def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for c, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                ids = np.arange(c * columns, min((c + 1) * columns, width), dtype=np.int32)
+                yield _list_batch(["col", "vector"], ids, _matrix(raw, width_z)[: len(ids)] @ turn)
+
+    vectors = docs.join(y, "r", "left").select("keys", "packed").mapInArrow(listed, f"key {kind}, vector array<double>")
+    basis = z.select("c", "packed").mapInArrow(terms, "col int, vector array<double>")
+    return Reduction(vectors, basis, singular)

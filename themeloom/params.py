@@ -47,3 +47,4 @@ FOREST_LEAF = 2_048
 FOREST_TREES = 6
 BLOCK_EDGES = 200_000
 FENCE = 3.0  # quartile ranges over the third quartile from which a point is far from its topic
+SVD_COLUMNS = 16_384  # rows of one block of the term-side matrix
