@@ -91,6 +91,17 @@ class WordHashes(dict):
 
 
 WORDS = WordHashes()
+#: Caches a worker may hold from tasks of several operators.
+CACHES: list[dict] = [WORDS]
+
+
+def leave_only(*kept: dict) -> None:
+    """Empty the caches of other operators, which an earlier stage in this worker filled."""
+    for cache in CACHES:
+        if not any(cache is k for k in kept):
+            cache.clear()
+
+
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from themeloom.llm.batches import array_of_lists, map_batches, raw_texts, shingles
+from themeloom.llm.batches import WORDS, array_of_lists, leave_only, map_batches, raw_texts, shingles
 from themeloom.operators.components import connected_components
 from themeloom.session import store
 
@@ -45,6 +45,7 @@ def sets_of(docs: DataFrame, words: int) -> DataFrame:
     """(doc_id, n_shingles, digest) of each row, and (hash, seen) of shingles that several sets of a batch hold."""
 
     def run(batch: pa.RecordBatch) -> dict:
+        leave_only(WORDS)
         sizes, digests, often = [], [], []
         texts = raw_texts(batch.column(1))
         for some in range(0, len(texts), TOGETHER):

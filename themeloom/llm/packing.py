@@ -24,7 +24,7 @@ import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from themeloom.llm.batches import raw_texts
+from themeloom.llm.batches import CACHES, leave_only, raw_texts
 
 WINDOW = 4096
 END_ID = 2
@@ -111,9 +111,11 @@ class CachedTokenizer:
 
 
 _TOKENIZERS: dict[str, CachedTokenizer] = {}
+CACHES.append(_TOKENIZERS)
 
 
 def tokenizer(path: str) -> CachedTokenizer:
+    leave_only(_TOKENIZERS)
     if path not in _TOKENIZERS:
         _TOKENIZERS[path] = CachedTokenizer(path)
     return _TOKENIZERS[path]

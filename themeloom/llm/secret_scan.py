@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from themeloom.llm.batches import WORDS, map_texts
+from themeloom.llm.batches import leave_only, map_texts
 
 FLAGS = re.ASCII
 # A key's block: header, attributes ("Proc-Type: ..."), base64 lines, END line; without an END line, to the last base64
@@ -198,7 +198,7 @@ def scan(docs: DataFrame, rules: dict[str, tuple[str, int, int]] | None = None,
     key = tuple(rules.items())
 
     def run(texts: list[bytes]) -> list:
-        WORDS.clear()  # of an earlier stage in this worker
+        leave_only()
         if key not in _SCANNERS:
             _SCANNERS[key] = Scanner(dict(key))
         return [[{"start": a, "end": b, "kind": k} for a, b, k in s] for s in _SCANNERS[key].scan(texts)]

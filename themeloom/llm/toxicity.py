@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from themeloom.llm.batches import WORDS, array_of_lists, chained, map_batches, map_texts, raw_texts
+from themeloom.llm.batches import WORDS, array_of_lists, chained, leave_only, map_batches, map_texts, raw_texts
 
 BITS = 20
 MAX_TRAIN = 16_000
@@ -102,6 +102,7 @@ def score(docs: DataFrame, weights: np.ndarray, keep: tuple[str, ...] = ()) -> D
     sent = docs.sparkSession.sparkContext.broadcast(weights)  # 4 MB: 2**BITS places
 
     def run(texts: list[bytes]) -> np.ndarray:
+        leave_only(WORDS)
         w = sent.value
         sums = np.array([float(w[features(raw)].sum(dtype=np.float64)) for raw in texts]) + float(w[0])
         return 1 / (1 + np.exp(-np.clip(sums, -35, 35)))
