@@ -9,7 +9,7 @@ from themeloom.catalog.registry import (
     labelled_vectors, query, table, topic_tokens_sql,
 )
 from themeloom.functions import arrays
-from themeloom.operators import components, describe, linalg, neighbors, topics, vectors
+from themeloom.operators import components, describe, linalg, neighbors, space, topics, vectors
 from themeloom.plans import extract
 from themeloom.session import store
 
@@ -45,6 +45,26 @@ def _(spark, folder):
     return found
 
 
+@query("F4_known_terms_of_new_texts", f"""WITH {_TF}, df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+  n AS (SELECT count(DISTINCT doc_id) AS n FROM tf),
+  new_tok AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '{_TOKEN}')) AS term FROM benchmark),
+  new_tf AS (SELECT item_id, term, count(*) AS tf FROM new_tok GROUP BY item_id, term)
+  SELECT item_id, term, round(tf * (ln((1 + n) / (1 + df)) + 1), 6) AS weight FROM new_tf JOIN df USING (term), n""")
+def _(spark, folder):
+    fitted, _ = space.fit_space(documents(spark, folder), "text", 10)
+    found = space.known_terms(fitted, table(spark, folder, "benchmark"), "text", "item_id")
+    return found.select("item_id", "term", F.round("weight", 6).alias("weight"))
+
+
+@query("F4_fold_in", f"WITH {_TF} SELECT doc_id, 0.0::DOUBLE AS distance FROM (SELECT DISTINCT doc_id FROM tf)")
+def _(spark, folder):
+    docs = documents(spark, folder)
+    fitted, own = space.fit_space(docs, "text", 20)
+    again = space.embed_texts(fitted, docs, "text").withColumnRenamed("vector", "again")
+    gaps = F.aggregate(F.zip_with("vector", "again", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
+    return own.join(again, "doc_id").select("doc_id", F.round(F.sqrt(gaps), 9).alias("distance"))
+
+
 @query("F5_gram_matrix", f"""WITH {LABELLED}, e AS (SELECT doc_id, CAST(generate_subscripts(vector, 1) - 1 AS INT) AS p, unnest(vector) AS x FROM emb)
   SELECT a.p AS i, b.p AS j, round(sum(a.x * b.x), 6) AS value FROM e a JOIN e b USING (doc_id) GROUP BY a.p, b.p""")
 def _(spark, folder):

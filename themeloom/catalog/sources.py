@@ -7,7 +7,8 @@ from pyspark.sql import Window, functions as F
 from themeloom.catalog.registry import (
     CENTRES, CLASS_COUNTS, FACTORS, LABELLED, WEIGHTS, WORDS, class_documents, documents, labelled_vectors, query, table,
 )
-from themeloom.operators import describe, display, topics, vectors
+from themeloom.operators import describe, display, space, topics, vectors
+from themeloom.plans import extract, scoring
 from themeloom.session import scratch_path, store
 from themeloom.sources import models, readers, writers
 
@@ -142,3 +143,26 @@ def _(spark, folder):
     v = labelled_vectors(spark, folder)
     saved = models.save_model(scratch_path(spark, "model"), {"assignments": v.select("doc_id", "topic"), "centres": topics.topic_vectors(v, v)})
     return models.load_model(spark, saved, ("assignments", "centres"))["assignments"]
+
+
+def _loaded_model(spark, folder):
+    """Topics by ``source``, described, saved and loaded again; the scorer goes through its own writer and reader."""
+    docs = class_documents(spark, folder)
+    fitted, points = space.fit_space(docs, "text", 20)
+    topic = docs.select("doc_id", "topic", F.lit(1.0).alias("probability"))
+    model = extract.describe_topics(docs.select("doc_id", "text"), "text", topic, points, min_share=0.0, max_share=1.0)
+    path = scratch_path(spark, "scorer")
+    scoring.TopicScorer(extract.with_space(model, fitted), textCol="text").save(path)
+    return scoring.TopicScorer.load(path)
+
+
+@query("R20_loaded_topic_words", lambda: f"WITH {CLASS_COUNTS()}, {FACTORS}, {WEIGHTS}, {WORDS} SELECT topic, rank, word, score FROM words")
+def _(spark, folder):
+    words = describe.top_words(_loaded_model(spark, folder).model.weights, places=6)
+    return words.select("topic", "rank", "word", "score")
+
+
+@query("T10_score_new_texts")
+def _(spark, folder):
+    scorer = _loaded_model(spark, folder).setParams(idCol="item_id")
+    return scorer.transform(table(spark, folder, "benchmark")).drop("text")

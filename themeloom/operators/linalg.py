@@ -61,14 +61,19 @@ def tfidf_rows(counts: DataFrame, doc: str = "doc_id") -> tuple[DataFrame, DataF
     vocabulary = number_rows(frequency, ["term"], "col")
     n = counts.agg(F.count_distinct(doc).alias("n")).first()["n"]
     weight = F.col("tf") * (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1)
+    weights = join_counted(counts, vocabulary, ["term"], "df").select(doc, "col", weight.alias("weight"))
+    return unit_rows(weights, doc), vocabulary
+
+
+def unit_rows(weights: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """(key, idx, val): the (doc, col, weight) of each document as one sparse row of length one; stored."""
     rows = (
-        join_counted(counts, vocabulary, ["term"], "df")
-        .select(F.col(doc).alias("key"), F.col("col").cast("int").alias("col"), weight.alias("w"))
+        weights.select(F.col(doc).alias("key"), F.col("col").cast("int").alias("col"), F.col("weight").alias("w"))
         .groupBy("key")
         .agg(F.sort_array(F.collect_list(F.struct("col", "w"))).alias("e"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("len"))
         .select("key", F.col("e.col").alias("idx"), F.transform("e", lambda t: t["w"] / F.col("len")).alias("val"))
     )
-    return store(rows, "sparse"), vocabulary
+    return store(rows, "sparse")
 
 
 def _chunks(batch: pa.RecordBatch, size: int = _CHUNK):
@@ -358,6 +363,46 @@ def _right_factor(triangle: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return vectors * np.where(flip == 0, 1, flip), values
 
 
+def _listed(docs: DataFrame, y: DataFrame, turn: np.ndarray, kind: str) -> DataFrame:
+    """(key, vector) of the row blocks times ``turn``; zeros for blocks that met no matrix."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                keys = batch.column(0).slice(i, 1).flatten()
+                raw = batch.column(1)[i].as_py()
+                found = _matrix(raw, len(turn)) @ turn if raw is not None else np.zeros((len(keys), turn.shape[1]))
+                for part in _slices(len(keys)):
+                    yield _list_batch(["key", "vector"], keys.slice(part.start, part.stop - part.start), found[part])
+
+    return docs.join(y, "r", "left").select("keys", "packed").mapInArrow(run, f"key {kind}, vector array<double>")
+
+
+def fold_rows(rows: DataFrame, basis: DataFrame, columns: int = params.SVD_COLUMNS) -> DataFrame:
+    """(key, vector) of the sparse rows (key, idx, val) in the space of a stored basis (col, vector).
+
+    The product of ``truncated_svd`` itself: tiles meet blocks of ``columns`` basis rows, so neither the basis nor a
+    frequent term's rows are ever in one task, at any size of both sides.
+    """
+    numbers, width = basis.agg(F.max("col"), F.max(F.size("vector"))).first()
+    width = width or 0
+    kind = dict(rows.dtypes)["key"]
+    if not width:
+        return rows.select("key", F.array().cast("array<double>").alias("vector"))
+
+    def pack(table: pa.Table) -> pa.Table:
+        block = np.zeros((columns, width))
+        at = table.column("col").to_numpy() % columns
+        block[at] = table.column("vector").combine_chunks().flatten().to_numpy().reshape(-1, width)
+        return pa.table({"c": pa.array([table.column("c")[0].as_py()], pa.int32()), "packed": pa.array([_pack_matrix(block)], pa.binary())})
+
+    keyed = basis.select(F.floor(F.col("col") / columns).cast("int").alias("c"), F.col("col").cast("int").alias("col"), "vector")
+    z = keyed.groupBy("c").applyInArrow(pack, "c int, packed binary")
+    tiles, docs = _tiles(rows, columns)
+    y = _Blocks(tiles, numbers + 1, columns).forward(z, width)
+    return _listed(docs, y, np.eye(width), kind)
+
+
 def truncated_svd(
     rows: DataFrame,
     width: int,
@@ -390,23 +435,12 @@ def truncated_svd(
     y = store(blocks.forward(z, width_z), "scores") if width_z else blocks.tiles.limit(0).select("r", F.col("val").alias("packed"))
     turn, singular = _right_factor(_triangle(y, "r", width_z)) if width_z else (np.zeros((0, 0)), np.zeros(0))
     turn, singular = turn[:, :k], singular[:k]
-    kind = dict(rows.dtypes)["key"]
-
-    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                keys = batch.column(0).slice(i, 1).flatten()
-                raw = batch.column(1)[i].as_py()
-                found = _matrix(raw, width_z) @ turn if raw is not None else np.zeros((len(keys), len(singular)))
-                for part in _slices(len(keys)):
-                    yield _list_batch(["key", "vector"], keys.slice(part.start, part.stop - part.start), found[part])
-
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for c, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids = np.arange(c * columns, min((c + 1) * columns, width), dtype=np.int32)
                 yield _list_batch(["col", "vector"], ids, _matrix(raw, width_z)[: len(ids)] @ turn)
 
-    vectors = docs.join(y, "r", "left").select("keys", "packed").mapInArrow(listed, f"key {kind}, vector array<double>")
+    vectors = _listed(docs, y, turn, dict(rows.dtypes)["key"])
     basis = z.select("c", "packed").mapInArrow(terms, "col int, vector array<double>")
     return Reduction(vectors, basis, singular)

@@ -16,7 +16,7 @@ def outliers_into_topics(model: TopicModel, df: DataFrame, column: str, **descri
     """Reassign outliers by vector, then recompute words, labels and documents."""
     moved = store(topics.reduce_outliers(model.vectors, model.assignments), "groups")
     assignments = store(topics.assignment_probability(model.vectors, moved, model.centres), "assignments")
-    return describe_topics(df, column, assignments, model.vectors, **describing)
+    return replace(describe_topics(df, column, assignments, model.vectors, **describing), space=model.space)
 
 
 def relabel(model: TopicModel, df: DataFrame, column: str, aspect: str, term_vectors: DataFrame | None = None,
