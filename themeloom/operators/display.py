@@ -292,7 +292,7 @@ def tree_lines(merges: DataFrame) -> DataFrame:
     above = first.join(holders, "topic").filter(F.col("above_size") > F.col("size"))
     grouped = above.groupBy("node").agg(F.count("*").cast("int").alias("depth"),
                                         F.sort_array(F.collect_list("above"), asc=False).alias("chain"))
-    step = lambda c: F.lpad(c.cast("string"), 9, "0")
+    step = lambda c: F.lpad(c.cast("string"), 10, "0")  # digits of the largest int
     return first.join(grouped, "node", "left").select(
         "node",
         F.coalesce("depth", F.lit(0)).alias("depth"),

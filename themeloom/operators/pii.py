@@ -7,7 +7,7 @@ resolved and the text is rewritten with built-in expressions.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -27,7 +27,7 @@ _MONTH = r"(?:January|February|March|April|May|June|July|August|September|Octobe
 # Entity: (pattern, score).  The patterns avoid look-around and Unicode classes,
 # so Java, Python and RE2 read them alike.
 ENTITIES = {
-    "EMAIL_ADDRESS": (r"\b[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9.-]{1,255}\.[A-Za-z]{2,24}\b", 1.0),
+    "EMAIL_ADDRESS": (r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b", 1.0),
     "URL": (r"\b(?:https?://|www\.)[^\s<>\"]+", 0.6),
     "IBAN_CODE": (r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b", 0.5),
     "IP_ADDRESS": (rf"\b(?:{_OCTET}\.){{3}}{_OCTET}\b", 0.6),
@@ -62,6 +62,33 @@ def _nhs(digits: str) -> bool:
 
 _CHECKS = {"CREDIT_CARD": _luhn, "UK_NHS": _nhs}
 
+_DOMAIN = re.compile(r"@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b", re.ASCII)
+_LOCAL = re.compile(r"[A-Za-z0-9._%+-]*")
+_WORD = re.compile(r"\w", re.ASCII)
+
+
+def _emails(text: str) -> Iterator[tuple[int, int]]:
+    """Places of the e-mail pattern, of any length: from each ``@`` with a domain back to the start of what stands
+    before it, so every character is read a bounded number of times."""
+    end = past = 0
+    for m in _DOMAIN.finditer(text):
+        at = m.start()
+        left = text.rfind("@", past, at) + 1 or past
+        left = at - _LOCAL.match(text[left:at][::-1]).end()
+        past = at
+        left = max(left, end)
+        first = _WORD.search(text, left, at)
+        if left < at and left == end > 0 and _WORD.match(text[left - 1]):
+            yield left, m.end()  # straight after an address, so at a word's end
+            end = m.end()
+        elif first:
+            yield first.start(), m.end()
+            end = m.end()
+
+
+# The same for the JVM: an address begins where the characters of one begin, or after the last address.
+_EMAIL_JVM = r"(?:(?<![A-Za-z0-9._%+-])|\G)[.%+-]*?\b[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
+
 
 def spans(column: Column, entities: Sequence[str] | None = None) -> Column:
     """All spans of the chosen entities, checked by their check digits; spans of
@@ -77,9 +104,10 @@ def spans(column: Column, entities: Sequence[str] | None = None) -> Column:
                 return None
             found = []
             for name, rule, score, check in rules:
-                for m in rule.finditer(text):
-                    if check is None or check(re.sub("[^0-9]", "", m.group())):
-                        found.append({"entity": name, "start": m.start(), "end": m.end(), "score": score})
+                places = _emails(text) if name == "EMAIL_ADDRESS" else (m.span() for m in rule.finditer(text))
+                for start, end in places:
+                    if check is None or check(re.sub("[^0-9]", "", text[start:end])):
+                        found.append({"entity": name, "start": start, "end": end, "score": score})
             return found
 
         return texts.map(one)
@@ -89,7 +117,8 @@ def spans(column: Column, entities: Sequence[str] | None = None) -> Column:
 
 def count_by_pattern(column: Column, entity: str) -> Column:
     """Matches of one entity's pattern, without check digits; built-in only."""
-    return F.size(F.regexp_extract_all(column, F.lit(ENTITIES[entity][0]), F.lit(0)))
+    pattern = _EMAIL_JVM if entity == "EMAIL_ADDRESS" else ENTITIES[entity][0]
+    return F.size(F.regexp_extract_all(column, F.lit(pattern), F.lit(0)))
 
 
 def resolve(found: Column) -> Column:
@@ -250,18 +279,21 @@ def _leaves(name: str, column: Column, kind, skip: set[str]) -> list[Column]:
         return [leaf for f in kind.fields for leaf in _leaves(f"{name}.{f.name}", column[f.name], f.dataType, skip)]
     pair = lambda path, value: F.struct(path.alias("path"), value.cast("string").alias("text"))
     none = F.array().cast("array<struct<path:string,text:string>>")
+    nested = (StructType, ArrayType, MapType)
+    rest = lambda p: p["path"].substr(F.lit(len(name) + 1), F.length(p["path"]))
+    below = lambda path, value, kind: F.concat(none, *[
+        F.transform(leaf, lambda p: pair(F.concat(path, rest(p)), p["text"])) for leaf in _leaves(name, value, kind, skip)
+    ])
     if isinstance(kind, ArrayType):
-        if isinstance(kind.elementType, (StructType, ArrayType, MapType)):
-            inner = lambda x, i: F.concat(none, *[
-                F.transform(leaf, lambda p: pair(F.concat(F.lit(f"{name}["), i.cast("string"), F.lit("]"), F.substring(p["path"], len(name) + 1, 10_000)), p["text"]))
-                for leaf in _leaves(name, x, kind.elementType, skip)
-            ])
-            return [F.coalesce(F.flatten(F.transform(column, inner)), none)]
         path = lambda i: F.concat(F.lit(f"{name}["), i.cast("string"), F.lit("]"))
+        if isinstance(kind.elementType, nested):
+            return [F.coalesce(F.flatten(F.transform(column, lambda x, i: below(path(i), x, kind.elementType))), none)]
         return [F.coalesce(F.transform(column, lambda x, i: pair(path(i), x)), none)]
     if isinstance(kind, MapType):
         entries = F.filter(F.map_entries(column), lambda e: ~F.concat(F.lit(f"{name}."), e["key"]).isin(list(skip) or [""]))
         path = lambda e: F.concat(F.lit(f"{name}."), e["key"].cast("string"))
+        if isinstance(kind.valueType, nested):
+            return [F.coalesce(F.flatten(F.transform(entries, lambda e: below(path(e), e["value"], kind.valueType))), none)]
         return [F.coalesce(F.transform(entries, lambda e: pair(path(e), e["value"])), none)]
     return [F.array(pair(F.lit(name), column))]
 
