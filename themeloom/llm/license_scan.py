@@ -206,10 +206,9 @@ def reduced(text: Column) -> Column:
     return F.when(inner == "", F.lit("")).otherwise(F.concat(F.lit(" "), inner, F.lit(" ")))
 
 
-def _found(words: Column, rule: Column) -> Column:
+def _found(words: Column, hit: Column) -> Column:
     """(start, end, order, label) of a rule's matches, in word numbers."""
-    matches = F.regexp_extract_all(words, rule["expression"], F.lit(0))
-    gaps = F.split(words, rule["expression"])
+    rule = hit["rule"]
     kind = "array<struct<start: int, end: int, order: int, label: string>>"
     state = F.struct(F.array().cast(kind).alias("out"), F.lit(0).alias("at"))
 
@@ -217,12 +216,19 @@ def _found(words: Column, rule: Column) -> Column:
         start = acc["at"] + _spaces(pair["gap"])
         length = _spaces(pair["match"]) + 1
         one = F.struct((start - 1).alias("start"), (start - 1 + length).alias("end"), rule["order"].alias("order"), rule["label"].alias("label"))
-        return F.struct(F.concat(acc["out"], F.array(one)).alias("out"), (start + length - 1).alias("at"))
+        more = F.struct(F.concat(acc["out"], F.array(one)).alias("out"), (start + length - 1).alias("at"))
+        return F.when(pair["match"].isNull(), acc).otherwise(more)  # what follows the last match
 
-    pairs = F.zip_with(F.slice(gaps, 1, F.size(matches)), matches, lambda g, m: F.struct(g.alias("gap"), m.alias("match")))
+    pairs = F.zip_with(F.split(words, rule["expression"]), hit["matches"], lambda g, m: F.struct(g.alias("gap"), m.alias("match")))
     return F.aggregate(pairs, state, step, lambda acc: acc["out"])
 
 
+def _hits(words: Column, rules: Column) -> Column:
+    """(rule, matches) of the rules that match; a rule without a match costs one pass over the text."""
+    tried = F.transform(rules, lambda r: F.struct(r.alias("rule"), F.regexp_extract_all(words, r["expression"], F.lit(0)).alias("matches")))
+    return F.filter(tried, lambda h: F.size(h["matches"]) > 0)
+
+
 def _resolved(found: Column) -> Column:
     """The detections that stay, from left to right."""
     by_place = F.array_sort(F.transform(found, lambda d: F.struct(d["start"], (-d["end"]).alias("back"), d["order"], d["label"])))
@@ -277,17 +283,22 @@ def scan(docs: DataFrame, rules: list[tuple[str, str, str]] | None = None, doc_i
     none = "array<struct<label: string, count: bigint, first: bigint, last: bigint>>"
     base = F.when(any_base, F.filter(F.array(*base), lambda b: b["count"] > 0)).otherwise(F.array().cast(none))
 
-    order = range(len(rules))
-    table = F.array(*[
-        F.struct(F.lit(label).alias("label"), F.lit(key).alias("keyword"), F.lit(f"(?<= )(?:{x})(?= )").alias("expression"), F.lit(i).alias("order"))
-        for i, (label, key, x) in zip(order, rules)
-    ])
+    by_key: dict[str, list[Column]] = {}
+    for i, (label, key, x) in enumerate(rules):
+        expression = F.lit(f"(?<= )(?:{x})(?= )")
+        by_key.setdefault(key, []).append(F.struct(F.lit(label).alias("label"), expression.alias("expression"), F.lit(i).alias("order")))
+    table = F.array(*[F.struct(F.lit(key).alias("keyword"), F.array(*those).alias("rules")) for key, those in by_key.items()])
     keys = sorted({key for _, key, _ in rules}, key=len)
     gates = [k for i, k in enumerate(keys) if not any(k.find(s) >= 0 for s in keys[:i])]  # a keyword within another stands for both
     gate = F.lit(False)
     for k in gates:
         gate = gate | F.contains("_words", F.lit(k.replace(" ", "  ")))
     single = F.replace(F.col("_words"), F.lit("  "), F.lit(" "))
-    found = F.transform(F.array(single), lambda w: F.flatten(F.transform(F.filter(table, lambda r: F.contains(w, r["keyword"])), lambda r: _found(w, r))))
+
+    def detected(w):
+        keyed = F.filter(table, lambda k: F.contains(w, k["keyword"]))
+        return F.flatten(F.transform(_hits(w, F.flatten(F.transform(keyed, lambda k: k["rules"]))), lambda h: _found(w, h)))
+
+    found = F.transform(F.array(single), detected)
     detections = F.when(gate, _resolved(found[0])).otherwise(F.array().cast("array<struct<start: int, end: int, label: string>>"))
     return rows.select("doc_id", "n_words", base.alias("base"), detections.alias("detections"))
