@@ -19,15 +19,19 @@ from __future__ import annotations
 
 import math
 import re
+import struct
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from themeloom.llm.batches import CACHE_WORDS, array_of_lists, map_batches, raw_texts
+from themeloom.llm.batches import array_of_lists, map_batches, raw_texts
 
 MARK = "▁"
 TRANSITIONS = 1_000_000
+#: Chunks a worker keeps in each of two generations: the older one is dropped when the newer one is full.
+CHUNKS = 200_000
+LONGEST = 64  # characters of a chunk that is kept
 _TRAINER, _TYPE, _UNIGRAM, _MERGE = 2, 3, 1, 2
 _NORMALIZER, _NAME, _CHARS, _PREFIX, _SQUEEZE, _ESCAPE = 3, 1, 2, 3, 4, 5
 
@@ -103,6 +107,7 @@ class Transducer:
         self.ending, self.starting = {}, {}
         self.joins: dict[int, bool] = {}
         self.chunks: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _derive(self, piece: str, i: int) -> bool:
         """Find the merge that makes a piece; False if the merge rules never make it from its characters."""
@@ -204,12 +209,16 @@ class Transducer:
     _CHUNK = re.compile(f"{MARK}+[^{MARK}\n]*|\n|[^{MARK}\n]+")
 
     def composed(self, chunk: str) -> bytes:
-        parts = self.parts(chunk)
-        if len(parts) > 1:
-            ids = b"".join(self.chunks.get(c) or self.composed(c) for c in parts)
-        else:
-            ids = np.array(self.segment(chunk), "<i4").tobytes()
-        if len(self.chunks) < CACHE_WORDS:
+        ids = self.older.get(chunk)
+        if ids is None:
+            parts = self.parts(chunk)
+            if len(parts) > 1:
+                ids = b"".join(self.chunks.get(c) or self.composed(c) for c in parts)
+            else:
+                ids = struct.pack(f"<{len(found := self.segment(chunk))}i", *found)
+        if len(chunk) <= LONGEST:
+            if len(self.chunks) >= CHUNKS:
+                self.chunks, self.older = {}, self.chunks
             self.chunks[chunk] = ids
         return ids
 
