@@ -31,21 +31,24 @@ def raw_texts(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def map_batches(df: DataFrame, function: Callable, schema: str) -> DataFrame:
+def map_batches(df: DataFrame, function: Callable, schema: str, rows: int | None = None) -> DataFrame:
     """``mapInArrow`` with a ``function`` of one batch that returns the columns by name.
 
-    A value may be an Arrow array or anything ``pyarrow.array`` takes for the type in ``schema``.
+    A value may be an Arrow array or anything ``pyarrow.array`` takes for the type in ``schema``.  With ``rows`` a batch
+    is handled in slices of so many rows, which bounds what a task holds of its output.
     """
     shape = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = function(batch)
-            yield pa.RecordBatch.from_arrays(
-                [x.cast(f.type) if isinstance(x := found[f.name], pa.Array) else pa.array(x, f.type) for f in shape], schema=shape
-            )
-            found = batch = None
-            pa.default_memory_pool().release_unused()
+            for start in range(0, max(batch.num_rows, 1), rows or max(batch.num_rows, 1)):
+                found = function(batch.slice(start, rows))
+                yield pa.RecordBatch.from_arrays(
+                    [x.cast(f.type) if isinstance(x := found[f.name], pa.Array) else pa.array(x, f.type) for f in shape], schema=shape
+                )
+                found = None
+                pa.default_memory_pool().release_unused()
+            batch = None
 
     return df.mapInArrow(run, schema)
 

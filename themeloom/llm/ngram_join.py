@@ -36,6 +36,7 @@ from themeloom.session import store
 FREQUENT = 200_000
 LEAST_SEEN = 4
 TOGETHER = 4_000  # sets whose shingles a task counts at a time
+AT_ONCE = 1_000  # sets a task writes at a time
 #: Words of 64 bits of a filter that is sent to the tasks (8 MB, whatever it holds; a fuller one lets more rows pass).
 FILTER_WORDS = 1 << 20
 _SIZE_BITS = 31  # size and position share a long
@@ -115,7 +116,7 @@ def prefixes(docs: DataFrame, words: int, least: Fraction, common: tuple[np.ndar
             parts.append(found[:keep].view(np.int64))
         return {"doc_id": batch.column(0), "n": sizes, "prefix": array_of_lists(parts, pa.int64())}
 
-    return map_batches(docs, run, "doc_id bigint, n bigint, prefix array<bigint>")
+    return map_batches(docs, run, "doc_id bigint, n bigint, prefix array<bigint>", AT_ONCE)
 
 
 def key_filter(keys: DataFrame, column: str) -> np.ndarray:
@@ -163,7 +164,7 @@ def whole_sets(docs: DataFrame, words: int, ids: DataFrame) -> DataFrame:
         return {"doc_id": batch.column(0), "members": array_of_lists(parts, pa.int64())}
 
     keyed = docs.filter("doc_id IS NOT NULL").select("doc_id", "text", F.xxhash64("doc_id").alias("key"))
-    return map_batches(keyed, run, "doc_id bigint, members array<bigint>")
+    return map_batches(keyed, run, "doc_id bigint, members array<bigint>", AT_ONCE)
 
 
 def _possible(least: Fraction, a: str, b: str):
