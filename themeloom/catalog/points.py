@@ -9,7 +9,7 @@ from themeloom.catalog.registry import (
     labelled_vectors, query, table, topic_tokens_sql,
 )
 from themeloom.functions import arrays
-from themeloom.operators import components, describe, linalg, neighbors, space, topics, vectors
+from themeloom.operators import components, describe, linalg, neighbors, space, spectral, topics, vectors
 from themeloom.plans import extract
 from themeloom.session import store
 
@@ -126,6 +126,20 @@ def _(spark, folder):
     return topics.reduce_for_clusters(labelled_vectors(spark, folder))
 
 
+@query("T1_graph_reduction")
+def _(spark, folder):
+    return topics.reduce_for_clusters(labelled_vectors(spark, folder), method="graph")
+
+
+@query("T1_graph_products", """SELECT i, j, CASE WHEN i = j THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS value
+  FROM (SELECT unnest(generate_series(0, 5))::INT AS i), (SELECT unnest(generate_series(0, 5))::INT AS j)""")
+def _(spark, folder):
+    points, _ = topics.density_points(labelled_vectors(spark, folder))
+    found, _, _ = spectral.eigenvectors(*spectral.normalised(store(spectral.fuzzy_graph(points), "graph")), 5)
+    columns = found.select(F.concat(F.array("root"), "vector").alias("vector"))
+    return linalg.gram(columns, "vector", 6).select(F.col("i").cast("int"), F.col("j").cast("int"), (F.round("value", 6) + 0.0).alias("value"))
+
+
 @query("T2_density_clusters")
 def _(spark, folder):
     reduced = store(topics.reduce_for_clusters(labelled_vectors(spark, folder)), "reduced")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from themeloom import params
 from themeloom.functions import arrays
-from themeloom.operators import density, linalg
+from themeloom.operators import density, linalg, spectral
 from themeloom.operators.components import connected_components
 from themeloom.operators.forest import forest_neighbours
 from themeloom.operators.linkage import merge_rounds
@@ -106,8 +106,13 @@ def number_by_size(groups: DataFrame) -> DataFrame:
     return joined.select("doc_id", F.coalesce("number", F.lit(params.OUTLIER)).cast("int").alias("topic"))
 
 
-def reduce_for_clusters(vectors: DataFrame, k: int = params.CLUSTER_DIMENSIONS) -> DataFrame:
-    """Length-normalised vectors reduced to ``k`` dimensions by a linear map."""
+def reduce_for_clusters(vectors: DataFrame, k: int = params.CLUSTER_DIMENSIONS, method: str = "linear") -> DataFrame:
+    """Length-normalised vectors reduced to ``k`` dimensions: by a linear map, or, with "graph", by the leading
+    eigenvectors of the neighbour graph (``operators.spectral``), which follow bent data."""
+    if method not in ("linear", "graph"):
+        raise ValueError("method is 'linear' or 'graph'")
+    if method == "graph":
+        return spectral.graph_coordinates(vectors, k)
     normal = vectors.select("doc_id", arrays.unit(F.col("vector")).alias("vector"))
     return linalg.dense_svd(normal, k)
 
@@ -232,14 +237,14 @@ def limit_topics(groups: DataFrame, vectors: DataFrame, count: int = 0, min_simi
 
 
 def zero_shot_then_cluster(
-    vectors: DataFrame, candidates: DataFrame, threshold: float = params.ZERO_SHOT_THRESHOLD, **options
+    vectors: DataFrame, candidates: DataFrame, threshold: float = params.ZERO_SHOT_THRESHOLD, reduction: str = "linear", **options
 ) -> DataFrame:
     """(doc_id, topic, zero_shot): candidate topics keep their ids, clusters of
     the rest get the ids after them."""
     given = store(zero_shot(vectors, candidates, threshold).select("doc_id", "topic"), "given")
     rest = vectors.join(given.select("doc_id"), "doc_id", "left_anti")
     offset = (candidates.agg(F.max("topic")).first()[0] or 0) + 1
-    found = density_clusters(store(reduce_for_clusters(rest), "reduced"), **options)
+    found = density_clusters(store(reduce_for_clusters(rest, method=reduction), "reduced"), **options)
     later = found.select(
         "doc_id",
         F.when(F.col("topic") == params.OUTLIER, F.col("topic")).otherwise(F.col("topic") + F.lit(offset)).alias("topic"),
