@@ -131,13 +131,12 @@ def _(spark, folder):
     return topics.reduce_for_clusters(labelled_vectors(spark, folder), method="graph")
 
 
-@query("T1_graph_products", """SELECT i, j, CASE WHEN i = j THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS value
-  FROM (SELECT unnest(generate_series(0, 5))::INT AS i), (SELECT unnest(generate_series(0, 5))::INT AS j)""")
+@query("T1_graph_products", "SELECT i::INT AS i, i::INT AS j, 1.0::DOUBLE AS value FROM (SELECT unnest(generate_series(0, 5)) AS i)")
 def _(spark, folder):
     points, _ = topics.density_points(labelled_vectors(spark, folder))
     found, _, _ = spectral.eigenvectors(*spectral.normalised(store(spectral.fuzzy_graph(points), "graph")), 5)
-    columns = found.select(F.concat(F.array("root"), "vector").alias("vector"))
-    return linalg.gram(columns, "vector", 6).select(F.col("i").cast("int"), F.col("j").cast("int"), (F.round("value", 6) + 0.0).alias("value"))
+    products = linalg.gram(found.select(F.concat(F.array("root"), "vector").alias("vector")), "vector", 6)
+    return products.withColumn("value", F.round("value", 6)).filter("value <> 0")
 
 
 @query("T2_density_clusters")
