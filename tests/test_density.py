@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from themeloom.operators import density, forest, topics
+from themeloom.operators import components, density, forest, topics
 
 
 def table(spark, matrix, name="doc_id"):
@@ -138,3 +138,24 @@ def test_few_and_empty(spark):
     assert topics.density_clusters(table(spark, np.zeros((0, 2))).limit(0)).count() == 0
     assert {r["topic"] for r in topics.density_clusters(table(spark, np.ones((3, 2)))).collect()} == {-1}
     assert {r["topic"] for r in topics.density_clusters(table(spark, np.ones((7, 2)))).collect()} == {0}
+
+
+def test_rounds_send_no_table_through_the_driver(spark, monkeypatch):
+    plans, store = [], components.store
+
+    def noting(df, name="table"):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return store(df, name)
+
+    monkeypatch.setattr(components, "store", noting)
+    monkeypatch.setattr(density, "store", noting)
+    rng = np.random.default_rng(8)
+    edges = [(i, i + 1, float(rng.integers(1, 9))) for i in range(60) if i != 30]
+    df = spark.createDataFrame(edges, "a long, b long, reach double")
+    tree = density.spanning_forest(df, 20)
+    found = components.connected_components(spark.range(61), tree).collect()
+    assert sorted((r["id"], r["component"]) for r in found) == [(i, 0 if i <= 30 else 31) for i in range(61)]
+    points = spark.createDataFrame([(i, 1, 1.0) for i in range(61)], "id long, weight long, core double")
+    _, clusters = density.condensed_tree(points, tree, 4, 20)
+    assert density.chosen_clusters(clusters).count() == clusters.count()
+    assert sum("SortMergeJoin" in p for p in plans) > 10 and not any("Broadcast" in p for p in plans)
